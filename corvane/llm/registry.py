@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, pii, simhash, token_frames
+from corvane.llm import decontaminate, packing, pii, quality, simhash, token_frames
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = token_frames.new_folder(docs)
@@ -42,6 +50,8 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_decontaminate": op4_decontaminate,
+        "op5_packing": op5_packing,
+        "op6_quality": op6_quality,
         "op7_token_frames": op7_token_frames,
     }
 
