@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, packing, pii, quality, simhash, token_frames
+from corvane.llm import decontaminate, langid, packing, pii, quality, simhash, token_frames, toxicity
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -45,14 +49,21 @@ def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_token_files(files, folder).drop("shard")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = toxicity.toxicity_labels(table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), labels, toxicity.CATEGORIES)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_langid": op1_langid,
         "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_decontaminate": op4_decontaminate,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_token_frames": op7_token_frames,
+        "op8_toxicity": op8_toxicity,
     }
 
 
