@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, langid, packing, pii, quality, simhash, token_frames, toxicity
+from corvane.llm import decontaminate, html_text, langid, packing, pii, quality, simhash, token_frames, toxicity
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels, toxicity.CATEGORIES)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_langid": op1_langid,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op6_quality": op6_quality,
         "op7_token_frames": op7_token_frames,
         "op8_toxicity": op8_toxicity,
+        "op9_html_text": op9_html_text,
     }
 
 
