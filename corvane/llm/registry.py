@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, html_text, langid, packing, pii, quality, simhash, token_frames, toxicity
+from corvane.llm import decontaminate, html_text, langid, packing, pii, quality, simhash, substring_dedup, token_frames, toxicity
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_langid": op1_langid,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op7_token_frames": op7_token_frames,
         "op8_toxicity": op8_toxicity,
         "op9_html_text": op9_html_text,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
