@@ -351,9 +351,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known with at least LEAST_SCORE, with their columns.
+    """The rows whose language is known with at least LEAST_SCORE, with their columns, in one pass."""
+    model = fit(training_sample(docs))
+    if model is None:
+        return docs.limit(0)
+    place = docs.columns.index("text")
 
-    A row is judged with the others of its id: the best one decides.
-    """
-    good = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Predictor(model)
+        for batch in batches:
+            for part in rows_of(batch, 512):
+                langs, score = made.documents(part.column(place).to_pylist())
+                yield part.filter(pa.array([lang != UNKNOWN and s >= LEAST_SCORE for lang, s in zip(langs, score, strict=True)]))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
