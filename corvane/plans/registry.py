@@ -11,7 +11,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-_MODULES: tuple[str, ...] = ()
+_MODULES = (
+    "corvane.operators.tokens",
+    "corvane.operators.ngrams",
+    "corvane.operators.search",
+    "corvane.operators.relations",
+    "corvane.operators.similarity",
+    "corvane.operators.windows",
+    "corvane.operators.concordance",
+    "corvane.operators.quality",
+    "corvane.operators.star",
+)
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
