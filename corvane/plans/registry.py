@@ -21,6 +21,8 @@ _MODULES = (
     "corvane.operators.concordance",
     "corvane.operators.quality",
     "corvane.operators.star",
+    "corvane.operators.alignment",
+    "corvane.streaming.events",
 )
 
 
