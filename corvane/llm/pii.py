@@ -64,23 +64,31 @@ CONTEXT_WORDS = {
 }
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sum of the elements before each element, by blocks: n * BLOCK steps, not n * n."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda s, x: s + x),
-    )
-    before = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda s, x: s + x))
-    inside = F.transform(
-        lengths,
-        lambda _, i: F.get(before, F.floor(i / BLOCK).cast("int"))
-        + F.aggregate(
-            F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, (i % BLOCK).cast("int")),
-            F.lit(0),
-            lambda s, x: s + x,
-        ),
-    )
-    return inside
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: inside a lambda, an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
+
+
+def with_running_sums(lengths: Column, body) -> Column:
+    """body(f), f(i) being the sum of the elements before i: by blocks, n * BLOCK steps and not n * n."""
+
+    def blocked(own: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(own) / BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda b: _sum(F.slice(own, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(blocks, lambda bs: let(F.transform(bs, lambda _, b: _sum(F.slice(bs, F.lit(1), b))), lambda before: summed(own, before)))
+
+    def summed(own: Column, before: Column) -> Column:
+        def at(i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return F.get(before, block) + _sum(F.slice(own, block * BLOCK + 1, (i % BLOCK).cast("int")))
+
+        return body(at)
+
+    return let(lengths, blocked)
 
 
 def _confirmed(kind: str, match: Column) -> Column:
@@ -113,24 +121,24 @@ def spans(text: Column, kind: str) -> Column:
     """All confirmed spans of a kind in a text: array of (start, kind's number, end, score)."""
     number = KINDS.index(kind)
     pattern = F.lit(PATTERNS[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    # element i: the text before match i, and the match
-    steps = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-    found = F.zip_with(
-        matches,
-        running_sums(steps),
-        lambda m, at: F.struct(m.alias("m"), at.alias("at")),
-    )
-    placed = F.transform(
-        found,
-        lambda x, i: F.struct(
-            (x["at"] + F.length(F.get(gaps, i))).alias("start"),
-            F.lit(number).alias("kind"),
-            (x["at"] + F.length(F.get(gaps, i)) + F.length(x["m"])).alias("end"),
-            x["m"].alias("m"),
-        ),
+    split = F.struct(
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"), F.split(text, PATTERNS[kind], -1).alias("gaps")
     )
+
+    def place(x: Column) -> Column:
+        # element i: the text before match i, and the match
+        steps = F.transform(x["matches"], lambda m, i: F.length(F.get(x["gaps"], i)) + F.length(m))
+
+        def placed(before) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = before(i) + F.length(F.get(x["gaps"], i))
+                return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(m)).alias("end"), m.alias("m"))
+
+            return F.transform(x["matches"], one)
+
+        return with_running_sums(steps, placed)
+
+    placed = let(split, place)
     good = F.filter(placed, lambda x: _confirmed(kind, x["m"]))
     near = lambda x: F.substr(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
     scored = F.transform(
