@@ -65,6 +65,17 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def hashed_sample(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """About n rows (all, if there are no more), chosen by their hashed key.
+
+    A filter, so that no task sends more than its share to the driver, as a limit would.
+    """
+    total = df.count()
+    span = 1 << 40
+    share = span if total <= n else n * span // total
+    return df.where(F.pmod(F.xxhash64(F.lit(17), key), F.lit(span)) < share)
+
+
 def rows_of(batch: pa.RecordBatch, limit: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, of at most so many rows."""
     for at in range(0, batch.num_rows, limit):
