@@ -7,8 +7,8 @@ probabilities like those it will see, earlier ones are predicted out of fold: th
 is dealt into FOLDS by a hash of the id, and a fold's probabilities come from a model
 fitted on the others. The models that predict are then fitted on the whole sample.
 
-Bounds: the sample has at most SAMPLE labelled documents (those whose hashed id is
-lowest); the vocabulary has at most VOCABULARY words, those that tell the categories
+Bounds: the sample has about SAMPLE labelled documents at most (chosen by hashed id); the
+vocabulary has at most VOCABULARY words, those that tell the categories
 apart best by their log-likelihood ratio in the sample. Every document is scored on its
 whole text. The threshold of a category is the out-of-fold probability with the best
 balanced accuracy among those that at most MAY_ACCUSE of the sample's rows without the
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import durable, rows_of, small_batches
+from corvane.llm.common import durable, hashed_sample, rows_of, small_batches
 
 SAMPLE, VOCABULARY = 8000, 1024
 #: Least log-likelihood ratio of a word of the vocabulary: by chance, some words of 20,000 have as much.
@@ -174,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> tuple[Chai
     """The chain and its vocabulary; labels: doc_id and a column of 0 or 1 for each category."""
     held = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     held = held.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
-    # at most SAMPLE rows of an id and a few numbers each: a bounded broadcast
-    chosen = F.broadcast(held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+    # about SAMPLE rows at most, of an id and a few numbers each: a bounded broadcast
+    chosen = F.broadcast(hashed_sample(held, SAMPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
