@@ -106,13 +106,11 @@ def test_large_buckets_give_the_same_components(spark, monkeypatch):
     signed = np.array(fps, np.uint64).view(np.int64)
     whole = pa.RecordBatch.from_arrays([pa.array(k[order]), pa.array(signed[r[order]]), pa.array(s[order])], ["key", "fp", "side"])
     parts = [whole.slice(i, 97) for i in range(0, whole.num_rows, 97)]
-    found = pa.Table.from_batches(list(S._buckets(iter(parts)))).to_pandas()
-    links = [(a, b) for a, b, key in zip(found["a"], found["b"], found["key"], strict=True) if key != key or key is None]
-    hot = found[found["key"].notna()]
-    assert len(hot)
-    import pandas as pd
-
-    frame = spark.createDataFrame(pd.DataFrame({"key": hot["key"].astype("int64"), "fp": hot["a"].astype("int64"), "side": hot["hot"].astype("int8")}), "key long, fp long, side byte")
+    found = pa.Table.from_batches(list(S._buckets(iter(parts)))).to_pylist()
+    links = [(r["a"], r["b"]) for r in found if r["key"] is None]
+    hot = [(r["key"], r["a"], r["hot"]) for r in found if r["key"] is not None]
+    assert hot
+    frame = spark.createDataFrame(hot, "key long, fp long, side byte")
     links += [(x.a, x.b) for x in S._block_pairs(frame).collect()]
     place = {int(v): i for i, v in enumerate(signed)}
     top = {i: i for i in range(len(fps))}
