@@ -12,6 +12,9 @@ seen and gives only new ones to the library. What makes the units exact:
   words; texts are cut at spaces and line feeds.
 * a run of punctuation behind a letter is a token border of its own in both patterns
   (the apostrophe of contractions excepted, which is not cut).
+* a word of letters alone (of the Latin blocks, where lower case and composition change
+  no border) is one unit of the pattern, so the library's merge model gets it directly, its
+  bytes written as the vocabulary's characters.
 
 The cache holds at most CACHE units of at most UNIT characters, which bounds a worker's
 memory; units beyond are encoded each time. Special tokens' strings in a text are
@@ -25,11 +28,18 @@ import re
 import threading
 import zlib
 
-CACHE = 500_000
+CACHE = 800_000
 UNIT = 40
 
 _PUNCT = ".,!?;:)]}%&*#$|"
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​]|  |\n\n| \n|\n |^[ \n]|[ \n]\Z")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+
+
+def _plainly_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between words."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not _OTHER_SPACE.search(text)
 
 
 def _tokenizer(path: str):
@@ -52,19 +62,27 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in both vocabularies: printable ones for themselves, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class _Units(dict):
     """unit -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode, prefix: str, lower: bool):
+    def __init__(self, made, encode, prefix: str, lower: bool):
         super().__init__()
-        self.encode, self.prefix, self.lower = encode, prefix, lower
+        self.merge, self.encode, self.prefix, self.lower = made.model.tokenize, encode, prefix, lower
         self.tails: dict[str, bytes] = {}
+        self.characters = _byte_characters()
 
     def __missing__(self, unit: str) -> bytes:
         ids = None
         if unit:
             core = unit.rstrip(_PUNCT)
-            if core and core != unit and core[-1].isalpha():
+            if core and core != unit and core[-1] < "İ" and core[-1].isalpha():
                 tail = unit[len(core) :]
                 last = self.tails.get(tail)
                 if last is None:
@@ -72,8 +90,10 @@ class _Units(dict):
                     if len(self.tails) < 10_000:
                         self.tails[tail] = last
                 ids = self[core] + last
-            elif self.lower and unit != (low := unit.lower()) and max(unit) < "İ":
-                ids = self[low]
+            elif max(unit) < "İ" and unit.isalpha():
+                word = self.prefix + (unit.lower() if self.lower else unit)
+                written = word.encode().decode("latin-1").translate(self.characters)
+                ids = _packed([t.id for t in self.merge(written)])
         if ids is None:
             ids = self.encode(self.prefix + unit) if unit or self.prefix else b""
         if len(self) < CACHE and len(unit) <= UNIT:
@@ -86,8 +106,8 @@ class ByteBpe:
 
     def __init__(self, path: str):
         self.made = _tokenizer(path)
-        self.first = _Units(self.whole, "", False)
-        self.later = _Units(self.whole, " ", False)
+        self.first = _Units(self.made, self.whole, "", False)
+        self.later = _Units(self.made, self.whole, " ", False)
         self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -96,16 +116,16 @@ class ByteBpe:
     def packed(self, text: str) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if not _plainly_spaced(text):
             return self.whole(text)
         out: list[bytes] = []
-        first, later = self.first, self.later
+        first, later = self.first, self.later.__getitem__
         for n, line in enumerate(text.split("\n")):
             if n:
                 out.append(self.feed)
             head, *rest = line.split(" ")
             out.append(first[head])
-            out += [later[w] for w in rest]
+            out += map(later, rest)
         return b"".join(out)
 
 
@@ -114,14 +134,13 @@ class WordBpe:
 
     def __init__(self, path: str):
         self.made = _tokenizer(path)
-        self.units = _Units(self.whole, "", True)
+        self.units = _Units(self.made, self.whole, "", True)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.made.encode(text, add_special_tokens=False).ids)
 
     def packed(self, text: str) -> bytes:
-        units = self.units
-        return b"".join([units[w] for w in text.replace("\n", " ").split(" ") if w])
+        return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _made: dict[tuple[str, str], ByteBpe | WordBpe] = {}
