@@ -373,7 +373,10 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for a, doc, low, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if a != last:
-                held += own
+                if hot and own:
+                    yield from windows(own)
+                else:
+                    held += own
                 own, hot, last = [], False, a
                 if size >= SORTED:
                     yield from found()

@@ -97,6 +97,19 @@ def test_repeated_windows_and_hot_anchors_agree(monkeypatch):
     assert {(r["doc_id"], r["span"] >> 32) for r in rows if least[r["w1"], r["w2"]] != (r["doc_id"], r["span"])} == want
 
 
+def test_hot_anchor_followed_by_another_in_a_batch(monkeypatch):
+    rng = random.Random(6)
+    text = bytes(rng.choice(b"abcd") for _ in range(130))
+    monkeypatch.setattr(S, "SPANS", 5)
+    # anchor 1 is hot after six spans, and a few more wait when anchor 2 comes
+    spans = [(1, d, 0, text) for d in range(20, 10, -1)] + [(2, d, 500, text[::-1]) for d in range(3)]
+    batch = pa.RecordBatch.from_pydict({k: [s[i] for s in spans] for i, k in enumerate(("a", "doc_id", "low", "data"))})
+    rows = pa.Table.from_batches(list(S._sorted_spans(iter([batch])))).to_pylist()
+    hashed = [r for r in rows if r["w1"] is not None]
+    assert sorted((r["doc_id"], r["span"] >> 32) for r in hashed) == [(d, i) for d in range(11, 21) for i in range(31)]
+    assert {r["doc_id"] for r in rows if r["w1"] is None} == {1, 2}
+
+
 def test_classes_over_batch_edges():
     rows = [(1, 1, 5, 50), (1, 1, 6, 60), (1, 2, 7, 70), (2, 1, 8, 80), (3, 1, 9, 90), (3, 1, 9, 91), (4, S.COVERED, 1, 2), (5, 1, 3, 3), (5, 2, 4, 4), (5, 2, 4, 5)]
     want = None
