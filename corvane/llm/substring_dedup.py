@@ -441,9 +441,23 @@ def covered_intervals(docs: DataFrame) -> DataFrame:
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _keyed(own: DataFrame) -> DataFrame:
+    """The rows with their id as `id`, and in doc_id a key of each row in the order of (id, text, position).
+
+    Unique ids are their own keys, and their texts are not moved.
+    """
+    again = own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if not again.limit(1).count():
+        return own.withColumn("id", F.col("doc_id"))
+    order = ("id", "text", "at")
+    placed = own.select(F.col("doc_id").alias("id"), "text", F.monotonically_increasing_id().alias("at"))
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranged.select(F.monotonically_increasing_id().alias("doc_id"), "text", "id"), "keyed")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    own = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = _keyed(id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")))
     covered = covered_intervals(own)
     listed = durable(covered.groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
 
@@ -468,9 +482,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ids = listed.select("doc_id")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids
-    hit = own.join(ids, "doc_id", "left_semi").join(listed, "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, _RESULT)
+    hit = own.join(ids, "doc_id", "left_semi").join(listed, "doc_id").select("id", "text", "spans").mapInArrow(cut, _RESULT)
     whole = own.join(ids, "doc_id", "left_anti").select(
-        "doc_id",
+        F.col("id").alias("doc_id"),
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"),

@@ -60,6 +60,17 @@ def test_odd_documents(spark):
     assert S.deduplicate(odd.empty(spark)).count() == 0
 
 
+def test_repeated_ids_equal_brute_force(spark):
+    a, b = "one passage of text " * 8, "".join(chr(97 + i * i % 26) + str(i) for i in range(90))
+    docs = [(5, a), (5, a), (3, b), (3, b + a), (3, None), (7, "short"), (7, "short"), (1, b[:120])]
+    docs += [(i % 9 + 10, t) for i, t in cases(60, 8)]
+    # each row by a key of its own: brute() tells rows apart by the key, in the order of (id, text)
+    ordered = sorted(docs, key=lambda d: (d[0], d[1] or ""))
+    want = brute(list(enumerate(t for _, t in ordered)))
+    rows = S.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, rows)) == sorted((ordered[k][0], *v) for k, v in want.items())
+
+
 @pytest.mark.parametrize("depth", [3, 20])
 def test_two_stage_order_equals_sorting(depth):
     rng = random.Random(3)
