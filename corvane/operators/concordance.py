@@ -29,8 +29,19 @@ def distinctiveness_label(before: Column, contemporary: Column, here: Column) ->
     SELECT word, array_to_string(list_sort(list(lemma)), ' ') lemmas FROM p WHERE word LIKE 'the%' GROUP BY word""",
 )
 def agg08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each surface form that starts with "the", with the sorted set of its lemmas."""
+    return agg08_whole(spark, sf_dir).where(F.col("word").startswith("the"))
+
+
+@query(
+    "agg08_surface_to_lemmas_whole",
+    f"""WITH {TOK}, p AS (SELECT DISTINCT word, substr(word, 1, 4) lemma FROM tok WHERE length(word) >= 6
+      UNION SELECT DISTINCT word, substr(word, 1, 3) FROM tok WHERE length(word) >= 6)
+    SELECT word, array_to_string(list_sort(list(lemma)), ' ') lemmas FROM p GROUP BY word""",
+)
+def agg08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each surface form with the sorted set of its lemmas."""
-    toks = tokens(table(spark, sf_dir, "documents")).where((F.length("word") >= 6) & F.col("word").startswith("the"))
+    toks = tokens(table(spark, sf_dir, "documents")).where(F.length("word") >= 6)
     pairs = toks.select("word").distinct().select("word", F.explode(F.array(F.substring("word", 1, 4), F.substring("word", 1, 3))).alias("lemma"))
     return pairs.groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("lemma")), " ").alias("lemmas"))
 

@@ -160,10 +160,24 @@ def jn04(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT word, tier, entry FROM m QUALIFY tier = min(tier) OVER (PARTITION BY word)""",
 )
 def jn05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As jn05_whole, of the words that start with "th"."""
+    return jn05_whole(spark, sf_dir).where(F.col("word").startswith("th"))
+
+
+@query(
+    "jn05_tiered_fallback_whole",
+    f"""WITH {TOK}, d AS (SELECT DISTINCT substr(word, 1, 3) base, word entry FROM tok WHERE length(word) BETWEEN 3 AND 4),
+    v AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 5),
+    m AS (SELECT word, 0 tier, entry FROM v JOIN d ON entry = word UNION ALL
+      SELECT word, 1, entry FROM v JOIN d ON entry = substr(word, 1, 4) UNION ALL
+      SELECT word, 2, entry FROM v JOIN d ON entry = substr(word, 1, 3))
+    SELECT word, tier, entry FROM m QUALIFY tier = min(tier) OVER (PARTITION BY word)""",
+)
+def jn05_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries of the first tier that has any: the word, its first four letters, its first three."""
     toks = tokens(table(spark, sf_dir, "documents"))
     entries = toks.where(F.length("word").between(3, 4)).select(F.col("word").alias("entry")).distinct()
-    words = toks.where((F.length("word") >= 5) & F.col("word").startswith("th")).select("word").distinct()
+    words = toks.where(F.length("word") >= 5).select("word").distinct()
     tiers = [F.col("word"), F.substring("word", 1, 4), F.substring("word", 1, 3)]
     return first_tier(words, tiers, entries, "entry", "word").select("word", "tier", "entry")
 
@@ -353,9 +367,19 @@ def win11(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jn18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarity matrix within each label, of the reference rows with an id below 100 against each other."""
+    return jn18_whole(spark, sf_dir).where("a_id < 100 AND b_id < 100")
+
+
+@query(
+    "jn18_similarity_in_group_whole",
+    """SELECT a.vec_id a_id, b.vec_id b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) cos
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id""",
+)
+def jn18_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity matrix within each label, of all rows against each other."""
     from corvane.operators.similarity import cosine
 
-    vecs = table(spark, sf_dir, "embeddings").where("vec_id < 100")
+    vecs = table(spark, sf_dir, "embeddings")
     a = vecs.select("label", F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
     b = vecs.select("label", F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
     pairs = a.join(b, "label").where("a_id < b_id")
@@ -402,10 +426,22 @@ def jn20(spark: SparkSession, sf_dir: str) -> DataFrame:
     AND p.word LIKE 'th%'""",
 )
 def jn21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As jn21_whole, of the names that start with "th"."""
+    return jn21_whole(spark, sf_dir).where(F.col("word").startswith("th"))
+
+
+@query(
+    "jn21_neighbour_cooccurrence_whole",
+    f"""WITH {TOK}, a AS (SELECT DISTINCT source, doc_id, word FROM tok WHERE length(word) >= 12),
+    x AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) ix FROM documents)
+    SELECT p.source, p.doc_id, p.word FROM (SELECT a.*, ix FROM a JOIN x USING (source, doc_id)) p WHERE NOT EXISTS
+    (SELECT 1 FROM a JOIN x USING (source, doc_id) WHERE a.source = p.source AND a.word = p.word AND ix BETWEEN p.ix - 1 AND p.ix + 1 AND ix <> p.ix)""",
+)
+def jn21_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that stand in no neighbouring segment: one step before or after, by segment number."""
     docs = table(spark, sf_dir, "documents")
     numbered = docs.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("ix"))
-    long_words = tokens(docs).where((F.length("word") >= 12) & F.col("word").startswith("th")).select("doc_id", "word").distinct()
+    long_words = tokens(docs).where(F.length("word") >= 12).select("doc_id", "word").distinct()
     there = long_words.join(numbered, "doc_id").select("source", "doc_id", "word", "ix")
     w = Window.partitionBy("source", "word").orderBy("ix")
     near = (F.coalesce(F.col("ix") - F.lag("ix").over(w), F.lit(9)) == 1) | (F.coalesce(F.lead("ix").over(w) - F.col("ix"), F.lit(9)) == 1)

@@ -97,7 +97,13 @@ def agg01(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {TOK} SELECT DISTINCT word, doc_id, pos FROM tok WHERE word LIKE 'tion%'",
 )
 def agg02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = postings(tokens(table(spark, sf_dir, "documents")).where(F.col("word").startswith("tion")))
+    return agg02_whole(spark, sf_dir).where(F.col("word").startswith("tion"))
+
+
+@query("agg02_postings_whole", f"WITH {TOK} SELECT DISTINCT word, doc_id, pos FROM tok")
+def agg02_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of all words."""
+    found = postings(tokens(table(spark, sf_dir, "documents")))
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 

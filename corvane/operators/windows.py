@@ -74,11 +74,21 @@ def strictly_increasing(values: list[int], low: int, high: int) -> list[int]:
 )
 def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word windows inside a document, at every fiftieth word."""
+    return win03_whole(spark, sf_dir).where("pos % 50 = 0")
+
+
+@query(
+    "win03_sliding_windows_whole",
+    f"""WITH {TOK} SELECT doc_id, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w three FROM tok
+    WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY lead(word, 2) OVER w IS NOT NULL""",
+)
+def win03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word windows inside a document, at every word."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     toks = tokens(table(spark, sf_dir, "documents"))
     three = F.concat_ws(" ", "word", F.lead("word").over(w), F.lead("word", 2).over(w))
     found = toks.withColumn("three", three).withColumn("third", F.lead("word", 2).over(w))
-    return found.where("third IS NOT NULL AND pos % 50 = 0").select("doc_id", F.col("pos").cast("long").alias("pos"), "three")
+    return found.where("third IS NOT NULL").select("doc_id", F.col("pos").cast("long").alias("pos"), "three")
 
 
 @query(

@@ -236,3 +236,19 @@ def test_similarity(spark):
 def test_dense_ranks(spark):
     df = spark.createDataFrame([(x,) for x in (500, 3, 70, 9000, 1)], "x long")
     assert values(K.dense_rank_by(df, "x", 100), "x", "rank") == [(1, 1), (3, 2), (70, 3), (500, 4), (9000, 5)]
+
+
+def test_whole_queries_leave_no_rows_out(spark, sf_dir):
+    from corvane.plans import registry
+
+    found = registry.queries()
+    for name, left_out in {
+        "win03_sliding_windows": "pos % 50 <> 0",
+        "agg02_postings": "word NOT LIKE 'tion%'",
+        "agg08_surface_to_lemmas": "word NOT LIKE 'the%'",
+        "jn05_tiered_fallback": "word NOT LIKE 'th%'",
+        "jn18_similarity_in_group": "b_id >= 100",
+        "jn21_neighbour_cooccurrence": "word NOT LIKE 'th%'",
+    }.items():
+        assert not found[name](spark, sf_dir).where(left_out).limit(1).count()
+        assert found[f"{name}_whole"](spark, sf_dir).where(left_out).limit(1).count(), name
