@@ -355,20 +355,25 @@ def aln12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("aln08_banded_alignment")
 def aln08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a document aligned to the lines of the next one of its source, by shared words, within a band."""
+    """Lines of a document aligned to the lines of the next one of its source, by shared words, within a band.
+
+    A null text is an empty one.
+    """
     from pyspark.sql import Window
 
-    docs = table(spark, sf_dir, "documents").where("n_chars < 2000").select("source", "doc_id", F.split("text", "\n").alias("a"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split(text, "\n").alias("a"))
     nxt = F.lead("a").over(Window.partitionBy("source").orderBy("doc_id"))
     pairs = docs.withColumn("b", nxt).where("b IS NOT NULL")
 
-    def similar(x: str, y: str) -> float:
-        p, q = set(x.lower().split()), set(y.lower().split())
-        return len(p & q) / max(1, len(p | q))
+    def similar(p: set, q: set) -> float:
+        both = len(p & q)
+        return both / max(1, len(p) + len(q) - both)
 
     def run(batches):
         for pdf in batches:
-            counts = [sum(i is not None and j is not None for i, j in banded_alignment(list(r.a), list(r.b), similar)) for r in pdf.itertuples()]
+            sides = [[[set(x.lower().split()) for x in side] for side in (r.a, r.b)] for r in pdf.itertuples()]
+            counts = [sum(i is not None and j is not None for i, j in banded_alignment(a, b, similar)) for a, b in sides]
             yield pdf[["doc_id"]].assign(matched=counts)
 
     return pairs.select("doc_id", "a", "b").mapInPandas(run, "doc_id long, matched long")

@@ -252,3 +252,14 @@ def test_whole_queries_leave_no_rows_out(spark, sf_dir):
     }.items():
         assert not found[name](spark, sf_dir).where(left_out).limit(1).count()
         assert found[f"{name}_whole"](spark, sf_dir).where(left_out).limit(1).count(), name
+
+
+def test_banded_alignment_of_long_documents(spark, tmp_path):
+    from corvane.plans import registry
+
+    lines = [f"line {i} with the words w{i} x{i} y{i}" for i in range(100)]
+    rows = [(0, "s", "short a\nshort b", 15), (1, "s", "\n".join(lines), 3500), (2, "s", "\n".join(lines), None), (3, "s", None, None), (4, "s", "short", 5)]
+    made = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["aln08_banded_alignment"](spark, str(tmp_path))
+    assert values(found, "doc_id", "matched") == [(0, 0), (1, 100), (2, 0), (3, 0)]
