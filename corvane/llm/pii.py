@@ -15,7 +15,8 @@ patterns and stays linear on very long texts:
   right behind the address before;
 * possessive repeats, which Java runs as loops instead of recursion.
 
-The method adds spans of two further kinds to these: `iban` (confirmed by mod-97) and
+The method adds spans of two further kinds to these: `iban` (confirmed by mod-97; upper-case
+words or digits may follow it, so of all ends of words the last that passes counts) and
 `secret` (a long key behind a word such as password or token). Each span has a score:
 what its pattern is worth, more with a checksum, more if a context word of its kind
 stands within CONTEXT characters before it. Added spans need KEEP_SCORE; base spans
@@ -40,12 +41,14 @@ BLOCK = 64
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = KINDS[:4]
 
+#: The rest of an IBAN behind its first four characters, as long as it may be, up to the end of a word.
+_IBAN_REST = r"(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9]){11,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?={_IBAN_REST})",
     "secret": r"(?<![A-Za-z0-9_])(?i:api[_-]?key|access[_-]?key|secret|password|passwd|token)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_-]{12,}+",
 }
 #: A text without this cannot hold a match.
@@ -114,6 +117,26 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _whole_ibans(text: Column, heads: Column) -> Column:
+    """The spans of IBANs that begin with these matches of the pattern; without those that none begins with, or in one before."""
+
+    def whole(x: Column) -> Column:
+        # 34 characters, as many spaces, and the character behind
+        run = F.regexp_extract(F.substr(text, x["start"] + 1, F.lit(69)), "^[A-Z]{2}[0-9]{2}" + _IBAN_REST, 0)
+        ends = lambda words: F.transform(
+            F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+        )
+        longest = F.get(F.filter(let(F.split(run, " "), ends), lambda m: _confirmed("iban", m)), F.lit(0))
+        return let(longest, lambda m: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (x["start"] + F.length(m)).alias("end"), m.alias("m")))
+
+    good = F.filter(F.transform(heads, whole), lambda x: x["m"].isNotNull())
+    start = F.struct(F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>").alias("out"), F.lit(0).alias("at"))
+    step = lambda s, x: F.when(x["start"] < s["at"], s).otherwise(
+        F.struct(F.concat(s["out"], F.array(x)).alias("out"), x["end"].alias("at"))
+    )
+    return F.aggregate(good, start, step, lambda s: s["out"])
+
+
 _NONE = "array<struct<start:int,kind:int,end:int,score:double>>"
 
 
@@ -139,7 +162,7 @@ def spans(text: Column, kind: str) -> Column:
         return with_running_sums(steps, placed)
 
     placed = let(split, place)
-    good = F.filter(placed, lambda x: _confirmed(kind, x["m"]))
+    good = _whole_ibans(text, placed) if kind == "iban" else F.filter(placed, lambda x: _confirmed(kind, x["m"]))
     near = lambda x: F.substr(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
     scored = F.transform(
         good,

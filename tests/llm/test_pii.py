@@ -68,6 +68,16 @@ def test_the_method_adds_checked_spans(spark):
     assert found[4] == ("email:5:11", pytest.approx(0.8))
 
 
+@pytest.mark.parametrize("behind", [" Please pay", " BIC COBADEFFXXX", " 2024", " 2024 AB 12", " A", " P.", "\n", ", X", " DE89 3704 0044 0532 0130 00"])
+def test_ibans_before_words_and_digits(spark, behind):
+    texts = [f"é iban {own}{behind}" for own in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947 NO9386011117947")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in P.pii_report(df).collect()}
+    assert found[0][0] == "iban:7:29" and found[1][0] == "iban:7:34" and found[2][:2] == ["iban:7:22", "iban:23:38"]
+    assert [len(found[i]) for i in range(3)] == ([2, 2, 3] if "DE" in behind and "BIC" not in behind else [1, 1, 2])
+    assert {r.text[:14] for r in P.redact(df).collect()} == {"é iban [IBAN]" + behind[:1], "é iban [IBAN] "}
+
+
 def test_context_raises_the_score(spark):
     rows = [(1, "call +1 234 567 8901"), (2, "so +1 234 567 8901")]
     found = {r.doc_id: r.top_score for r in P.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
