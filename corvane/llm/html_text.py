@@ -18,10 +18,11 @@ and unique runs kept, even inside a block. Blocks of the main element are kept w
 article that is published twice remains an article. On a page with main text, open blocks
 are not part of the article; on a page without, they are its text.
 
-A host may have any number of pages: hosts with more than GROUP pages are dealt into
-groups of about that many by a hash of the page. Boilerplate repeats in each group, as it
-stands on all pages. The counts of large hosts are broadcast only if there are at most
-BROADCAST_HOSTS of them, else joined.
+A host may have any number of pages. Those of hosts with more than GROUP pages are cleaned
+one by one, with the same result: their runs of RUN words meet by 128-bit hashes, over all
+pages of the host, and those on two distinct pages go back to the pages that ask for them.
+Hosts whose pages all have main text need no runs. The names of large hosts are broadcast
+only if there are at most BROADCAST_HOSTS of them, else joined.
 
 Null or empty html gives an empty text; pages without a host form a host of their own.
 Repeated rows have repeated results (they are one distinct page); an empty table none.
@@ -39,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import rows_of, small_batches
+from corvane.llm.common import durable, rows_of, small_batches, written
 
-#: Words of a repeated run, pages of a group, hosts whose counts may be broadcast.
+#: Words of a repeated run, pages that one suffix array takes, hosts whose names may be broadcast.
 RUN, GROUP, BROADCAST_HOSTS = 8, 256, 50_000
 
 MAIN, OPEN = 0, 1
@@ -266,6 +267,77 @@ def page_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
     return out
 
 
+# ---- large hosts -------------------------------------------------------------------
+
+
+def window_hashes(words: list[str], run: int = RUN) -> list[tuple[int, int]]:
+    """The 128-bit hashes of a block's runs of words, as two signed numbers."""
+    import xxhash
+
+    out = []
+    for i in range(len(words) - run + 1):
+        own = xxhash.xxh3_128_digest(" ".join(words[i : i + run]).encode("utf-8", "surrogatepass"))
+        out.append((int.from_bytes(own[:8], "big", signed=True), int.from_bytes(own[8:], "big", signed=True)))
+    return out
+
+
+def page_number(texts: list[str]) -> int:
+    """A hash of a page's blocks: pages with the same blocks are one."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def page_text(page: list[tuple[int, str]], repeated: set[tuple[int, int]]) -> tuple[str, int]:
+    """As page_texts, for one page whose repeated runs are known by their hashes."""
+    if any(place == MAIN for place, _ in page):
+        return " ".join(text for place, text in page if place == MAIN), 0
+    kept, removed = [], 0
+    for _, text in page:
+        words = text.split(" ")
+        gone = bytearray(len(words))
+        for i, h in enumerate(window_hashes(words) if repeated else ()):
+            if h in repeated:
+                gone[i : i + RUN] = b"\1" * RUN
+        removed += sum(gone)
+        kept.append(" ".join(w for w, g in zip(words, gone, strict=True) if not g))
+    return " ".join(t for t in kept if t), removed
+
+
+def repeated_runs(pages: DataFrame) -> DataFrame | None:
+    """(host, number, runs) of the pages without marked-up text: their runs that another distinct page of the host has.
+
+    pages: host, html. None if all pages have marked-up text, as then no run is asked for.
+    """
+
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts = {h for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if all(p != MAIN for p, _ in blocks(t))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(hosts), pa.string())], ["host"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in rows_of(batch, 64):
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for host, html in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    page = blocks(html)
+                    number, asks = page_number([t for _, t in page]), all(p != MAIN for p, _ in page)
+                    for h1, h2 in {h for _, t in page for h in window_hashes(t.split(" "))}:
+                        for column, value in zip(out, (host, number, asks, h1, h2), strict=True):
+                            column.append(value)
+                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "number", "asks", "h1", "h2"])
+
+    asking = durable(pages.select("host", "html").mapInArrow(unmarked, "host string").distinct())
+    if not asking.limit(1).count():
+        return None
+    chosen = pages.select("host", "html").join(asking, "host", "left_semi")
+    found = written(chosen.mapInArrow(runs, "host string, number long, asks boolean, h1 long, h2 long"), "runs")
+    key = ["host", "h1", "h2"]
+    again = found.groupBy(*key).agg(F.min("number").alias("low"), F.max("number").alias("high")).where("low <> high").select(*key)
+    return found.where("asks").join(again, key).groupBy("host", "number").agg(F.collect_set(F.struct("h1", "h2")).alias("runs"))
+
+
 # ---- the operator ------------------------------------------------------------------
 
 
@@ -275,22 +347,22 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1))
     own = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     large = own.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    large = large.select("host", F.ceil(F.col("n") / GROUP).alias("groups"))
+    large = large.select("host")
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    own = own.join(F.broadcast(large) if few else large, "host", "left")
-    own = own.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
+    large = F.broadcast(large) if few else large
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in rows_of(batch, 256):
-                made = [blocks(t) for t in some.column(4).to_pylist()]
+                made = [blocks(t) for t in some.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[some.column(i) for i in range(4)],
+                        *[some.column(i) for i in range(3)],
+                        pa.array([page_number([t for _, t in page]) for page in made], pa.int64()),
                         pa.array([[p for p, _ in page] for page in made], pa.list_(pa.int32())),
                         pa.array([[t for _, t in page] for page in made], pa.list_(pa.string())),
                     ],
-                    ["page_id", "url", "host", "part", "places", "texts"],
+                    ["page_id", "url", "host", "number", "places", "texts"],
                 )
 
     def clean(group: pa.Table) -> pa.Table:
@@ -306,7 +378,24 @@ def extract(pages: DataFrame) -> DataFrame:
             }
         )
 
+    def clean_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page_id, address, places, texts, runs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                text, n = page_text(list(zip(places, texts, strict=True)), {(r["h1"], r["h2"]) for r in runs or ()})
+                out.append((page_id, address, text, len(text), n))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "text", "n_chars", "n_repeated"])
+
     small_batches(pages.sparkSession)
-    listed = own.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "host", "part", "html")
-    cutted = listed.mapInArrow(cut, "page_id long, url string, host string, part long, places array<int>, texts array<string>")
-    return cutted.groupBy("host", "part").applyInArrow(clean, "page_id long, url string, text string, n_chars long, n_repeated long")
+    listed = own.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "host", "html")
+    kinds, result = "page_id long, url string, host string, number long, places array<int>, texts array<string>", "page_id long, url string, text string, n_chars long, n_repeated long"
+    small = listed.join(large, "host", "left_anti").select(*listed.columns).mapInArrow(cut, kinds).groupBy("host").applyInArrow(clean, result)
+    if not large.limit(1).count():
+        return small
+    of_large = listed.join(large, "host", "left_semi").select(*listed.columns)
+    runs = repeated_runs(of_large)
+    each = of_large.mapInArrow(cut, kinds)
+    each = each.withColumn("runs", F.lit(None).cast("array<struct<h1:long,h2:long>>")) if runs is None else each.join(runs, ["host", "number"], "left")
+    return small.union(each.select("page_id", "url", "places", "texts", "runs").mapInArrow(clean_each, result))

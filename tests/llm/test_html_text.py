@@ -90,3 +90,17 @@ def test_operator(spark, monkeypatch):
         assert found[:10] == [(i, f"http://h.example/{i}", f"text {i} & more", 13) for i in range(10)]
         assert found[10:] == [(20, "-", "", 0), (21, "no host", "", 0), (22, "http://one.example/", "alone", 5), (22, "http://one.example/", "alone", 5)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_runs_of_a_few_pages_of_a_large_host(spark, monkeypatch):
+    word = lambda i, k: f"w{i}x{k}"
+    section = " ".join(f"section{k}" for k in range(12))
+    bodies = ["<p>" + " ".join(word(i, k) for k in range(20)) + "</p>" + (f"<div>{section} {i}</div>" if i in (3, 17, 30) else "") for i in range(40)]
+    bodies += [bodies[5], f"<article><p>{section}</p></article>", "", "<p>" + " ".join(word(8, k) for k in range(12)) + "</p>"]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").repartition(3)
+    want = H.page_texts([H.blocks(b) for b in bodies])
+    for most in (3, 1000):
+        monkeypatch.setattr(H, "GROUP", most)
+        found = sorted((r.page_id, r.text, r.n_chars, r.n_repeated) for r in H.extract(df).collect())
+        assert found == [(i, t, len(t), n) for i, (t, n) in enumerate(want)]
+    assert want[3][1] == want[17][1] == want[30][1] == 12 and want[5][1] == 0 and want[8][1] == 12
