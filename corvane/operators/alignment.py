@@ -115,7 +115,7 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def matched_tokens(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places of equal tokens in order: tokens that either side has once are anchors, between them the same again.
 
-    A stretch without such anchors is matched by its equal ends and, if short, by a common subsequence.
+    A stretch without such anchors is matched by its equal ends and a longest common subsequence.
     """
     out: list[tuple[int, int]] = []
     waiting = [(0, len(a), 0, len(b))]
@@ -136,11 +136,40 @@ def matched_tokens(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             edges = [(i - 1, j - 1), *anchors, (i2, j2)]
             out += anchors
             waiting += [(p + 1, q, r + 1, s) for (p, r), (q, s) in zip(edges, edges[1:], strict=False)]
-        elif (i2 - i) * (j2 - j) <= 640_000:
-            out += _common_subsequence(a, b, i, i2, j, j2)
+        else:
+            out += _long_subsequence(a, b, i, i2, j, j2)
     return sorted(out)
 
 
+def _long_subsequence(a: list[str], b: list[str], i: int, i2: int, j: int, j2: int) -> list[tuple[int, int]]:
+    """A longest common subsequence in linear space: the stretch is halved (Hirschberg) until its matrix is small."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (a[i:i2], b[j:j2]))
+
+    def lengths(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(q) + 1, np.int64)
+        for t in p:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (q == t)))
+        return row
+
+    out: list[tuple[int, int]] = []
+    waiting = [(0, len(x), 0, len(y))]
+    while waiting:
+        p, p2, q, q2 = waiting.pop()
+        if p >= p2 or q >= q2:
+            continue
+        if p2 - p == 1:
+            at = np.flatnonzero(y[q:q2] == x[p])
+            out += [(i + p, j + q + int(at[0]))] if len(at) else []
+        elif (p2 - p) * (q2 - q) <= 640_000:
+            out += _common_subsequence(a, b, i + p, i + p2, j + q, j + q2)
+        else:
+            half = (p + p2) // 2
+            cut = q + int((lengths(x[p:half], y[q:q2]) + lengths(x[half:p2][::-1], y[q:q2][::-1])[::-1]).argmax())
+            waiting += [(p, half, q, cut), (half, p2, cut, q2)]
+    return out
+
+
 def _common_subsequence(a: list[str], b: list[str], i: int, i2: int, j: int, j2: int) -> list[tuple[int, int]]:
     rows, columns = i2 - i, j2 - j
     best = np.zeros((rows + 1, columns + 1), np.int32)

@@ -263,3 +263,19 @@ def test_banded_alignment_of_long_documents(spark, tmp_path):
     made.write.parquet(f"{tmp_path}/documents.parquet")
     found = registry.queries()["aln08_banded_alignment"](spark, str(tmp_path))
     assert values(found, "doc_id", "matched") == [(0, 0), (1, 100), (2, 0), (3, 0)]
+
+
+def test_long_stretches_without_anchors_are_matched():
+    rng = np.random.default_rng(3)
+    a, b = ([f"w{k}" for k in rng.integers(0, 12, n)] for n in (1100, 900))
+    # every word more than once on both sides, so there is no anchor
+    assert min(a.count(w) for w in set(a)) > 1 and min(b.count(w) for w in set(b)) > 1
+    found = A.matched_tokens(a, b)
+    assert all(a[i] == b[j] for i, j in found)
+    assert all(p < r and q < s for (p, q), (r, s) in zip(found, found[1:], strict=False))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    assert len(found) == row[-1]
