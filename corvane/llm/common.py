@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the one in spark.checkpoint.dir.
 
-    Only where the session names none (a local session, as in tests) a new
-    temporary folder is set.
+    Only where a local session names none (as in tests) a new temporary folder is set;
+    on a cluster, executors would not see such a folder, so there this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return str(set_before.get()).rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="corvane-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -47,9 +50,33 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders made in the shared one and not deleted yet.
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; `tidy` deletes it."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_so_far() -> int:
+    """A mark for `tidy`."""
+    return len(_made)
+
+
+def tidy(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the folders made since a mark, but for `keep`; to be called when no result reads them any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in [p for p in _made[since:] if p != keep]:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,15 +92,16 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def hashed_sample(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """About n rows (all, if there are no more), chosen by their hashed key.
+def hashed_sample(df: DataFrame, n: int) -> DataFrame:
+    """About n distinct rows at most (all, if there are no more), chosen by a hash of all their columns.
 
     A filter, so that no task sends more than its share to the driver, as a limit would.
+    Equal rows count once: however often one is repeated, the sample keeps its bound.
     """
     total = df.count()
     span = 1 << 40
     share = span if total <= n else n * span // total
-    return df.where(F.pmod(F.xxhash64(F.lit(17), key), F.lit(span)) < share)
+    return df.where(F.pmod(F.xxhash64(F.lit(17), *df.columns), F.lit(span)) < share).distinct()
 
 
 def rows_of(batch: pa.RecordBatch, limit: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -87,13 +115,13 @@ def ascii_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (node, component).
 
     edges: columns a and b, of a type that can be ordered. A component is named by
     its smallest node. Alternates large-star and small-star steps, whose rows never
-    exceed the edges; each round is checkpointed. Nodes without an edge have no row;
-    an empty table gives an empty table.
+    exceed the edges, until nothing changes; each round is checkpointed. Nodes without an
+    edge have no row; an empty table gives an empty table.
     """
     now = durable(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -105,7 +133,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = state(now)
     if not seen[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(most_rounds):
+    while True:
         # large star: each neighbour above a node goes to the least node around it
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -122,8 +150,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         was, seen = seen, state(now)
         if was == seen:
             break
-    else:
-        raise RuntimeError("components did not settle")
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 
