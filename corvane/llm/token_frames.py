@@ -5,8 +5,8 @@ One file (shard), in bytes:
     frame 0 .. frame n-1   zstandard frames, each of its own; a frame's content is
                            ids of whole documents, little-endian unsigned 32-bit
     directory              a skippable frame (magic 0x184D2A50): zstandard-compressed
-                           rows (doc_id int64, frame uint32, n_tokens uint32), one a
-                           document in file order
+                           rows (doc_id int64, frame uint32, n_tokens uint32, known
+                           uint8: 0 for a null doc_id), one a document in file order
     seek table             a skippable frame (magic 0x184D2A5E), as in the public seekable
                            format: a row (compressed size, content size, checksum) of
                            three uint32 for each frame; then the number of frames
@@ -20,9 +20,10 @@ Files are ordered: shard k holds smaller doc_id than shard k + 1, and a shard as
 
 Files are written under another name and then renamed, so a task that runs twice leaves
 one whole file; the folder must be one that all executors share. A document's start is
-the number of ids in all documents before it; documents with the same doc_id keep an
-order by their text. Null and empty texts have the end id alone. An empty table has no
-file and no row. Extra columns are not read.
+the number of ids in all documents before it. Documents with the same doc_id are ordered
+by a hash of their text, equal rows by their place in the input, so they may fill any
+number of shards; null ids come first. Null and empty texts have the end id alone. An
+empty table has no file and no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import durable, filesystem, id_and_text, shared_dir, small_batches
+from corvane.llm import common
+from corvane.llm.common import durable, filesystem, id_and_text, small_batches
 
 END_ID = 1
 #: A frame ends at the first document that fills it to this many ids.
 FRAME_IDS = 1 << 16
 
 _SKIP, _SEEK, _FOOT = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-_DIRECTORY = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("n_tokens", "<u4")])
+_DIRECTORY = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("n_tokens", "<u4"), ("known", "u1")])
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 
 
@@ -62,10 +64,10 @@ class FrameWriter:
         self.out, self.zip = out, zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.buffer, self.held = [], 0
         self.entries: list[tuple[int, int, int]] = []
-        self.directory: list[tuple[int, int, int]] = []
+        self.directory: list[tuple[int, int, int, int]] = []
 
-    def add(self, doc_id: int, packed: bytes) -> None:
-        self.directory.append((doc_id, len(self.entries), len(packed) // 4))
+    def add(self, doc_id: int | None, packed: bytes) -> None:
+        self.directory.append((doc_id or 0, len(self.entries), len(packed) // 4, doc_id is not None))
         self.buffer.append(packed)
         self.held += len(packed) // 4
         if self.held >= FRAME_IDS:
@@ -120,7 +122,7 @@ class FrameReader:
             raise ValueError(f"frame {k} is damaged")
         return content
 
-    def documents(self, rows: Iterable[int] | None = None) -> Iterator[tuple[int, bytes]]:
+    def documents(self, rows: Iterable[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
         """(doc_id, packed ids) of the directory's rows, or of those given, by frame."""
         wanted = np.arange(len(self.directory)) if rows is None else np.sort(np.asarray(list(rows), np.int64))
         sizes = self.directory["n_tokens"].astype(np.int64) * 4
@@ -131,12 +133,13 @@ class FrameReader:
             if (f := int(self.directory["frame"][row])) != k:
                 k, content = f, self.frame(f)
             at = int(before[row] - before[first[k]])
-            yield int(self.directory["doc_id"][row]), content[at : at + int(sizes[row])]
+            yield int(self.directory["doc_id"][row]) if self.directory["known"][row] else None, content[at : at + int(sizes[row])]
 
 
-def read_documents(folder: str, doc_ids: Iterable[int]) -> dict[int, np.ndarray]:
-    """The ids of some documents; only the frames that hold them are decompressed."""
-    wanted, found = np.unique(np.asarray(list(doc_ids), np.int64)), {}
+def read_documents(folder: str, doc_ids: Iterable[int]) -> dict[int, list[np.ndarray]]:
+    """The ids of all documents with some doc_ids, in file order; only the frames that hold them are decompressed."""
+    wanted = np.unique(np.asarray(list(doc_ids), np.int64))
+    found: dict[int, list[np.ndarray]] = {}
     system, path = filesystem(folder)
     from pyarrow import fs
 
@@ -144,8 +147,9 @@ def read_documents(folder: str, doc_ids: Iterable[int]) -> dict[int, np.ndarray]
         if info.path.endswith(".zst"):
             with system.open_input_file(info.path) as source:
                 reader = FrameReader(source)
-                rows = np.flatnonzero(np.isin(reader.directory["doc_id"], wanted))
-                found |= {d: np.frombuffer(ids, "<u4") for d, ids in reader.documents(rows)}
+                rows = np.flatnonzero(np.isin(reader.directory["doc_id"], wanted) & (reader.directory["known"] == 1))
+                for d, ids in reader.documents(rows):
+                    found.setdefault(d, []).append(np.frombuffer(ids, "<u4"))
     return found
 
 
@@ -188,8 +192,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         )
 
     small_batches(docs.sparkSession)
-    # by range of doc_id, so that files ascend; the text decides between rows of one id
-    each = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # by range of doc_id, so that files ascend; an id with many rows is dealt out as well
+    order = ("doc_id", "h", "at")
+    own = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    placed = own.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+    each = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return durable(each.mapInArrow(write, _WRITTEN))
 
 
@@ -211,7 +218,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                         {
                             "shard": pa.array(np.full(n, shard, np.int32)),
                             "row": pa.array(np.arange(n, dtype=np.int32)),
-                            "doc_id": pa.array(reader.directory["doc_id"].astype(np.int64)),
+                            "doc_id": pa.array(reader.directory["doc_id"].astype(np.int64), mask=reader.directory["known"] == 0),
                             "first": pa.array(firsts[:-1]),
                             "n_tokens": pa.array(reader.directory["n_tokens"].astype(np.int64)),
                             "ids_crc32": pa.array(crcs),
@@ -233,4 +240,4 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
 def new_folder(docs: DataFrame) -> str:
     """A folder for files, in the folder that the cluster shares."""
-    return f"{shared_dir(docs.sparkSession)}/token-frames-{uuid.uuid4().hex}"
+    return common.new_folder(docs.sparkSession, "token-frames")

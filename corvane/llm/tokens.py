@@ -17,8 +17,8 @@ seen and gives only new ones to the library. What makes the units exact:
   bytes written as the vocabulary's characters.
 
 The cache holds at most CACHE units of at most UNIT characters, which bounds a worker's
-memory; units beyond are encoded each time. Special tokens' strings in a text are
-ordinary text.
+memory; units beyond are encoded each time. A text that holds the string of one of the
+vocabulary's added tokens goes to the library as a whole, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -46,9 +46,13 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
+
+
+def _added(made) -> list[str] | None:
+    """The strings of the added tokens; None if some are looked for in another form than the text's."""
+    tokens = made.get_added_tokens_decoder().values()
+    return None if any(t.normalized for t in tokens) else [t.content for t in tokens]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -101,19 +105,32 @@ class _Units(dict):
         return ids
 
 
-class ByteBpe:
-    """byte_bpe: ids of a text, packed."""
+class _Vocabulary:
+    """A vocabulary's library encoder: ids of a text, packed."""
 
     def __init__(self, path: str):
         self.made = _tokenizer(path)
-        self.first = _Units(self.made, self.whole, "", False)
-        self.later = _Units(self.made, self.whole, " ", False)
-        self.feed = self.whole("\n")
+        self.added = _added(self.made)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.made.encode(text, add_special_tokens=False).ids)
 
     def packed(self, text: str) -> bytes:
+        if self.added is None or any(a in text for a in self.added):
+            return self.whole(text)
+        return self.by_units(text)
+
+
+class ByteBpe(_Vocabulary):
+    """byte_bpe: ids of a text, packed."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.first = _Units(self.made, self.whole, "", False)
+        self.later = _Units(self.made, self.whole, " ", False)
+        self.feed = self.whole("\n")
+
+    def by_units(self, text: str) -> bytes:
         if not text:
             return b""
         if not _plainly_spaced(text):
@@ -129,17 +146,14 @@ class ByteBpe:
         return b"".join(out)
 
 
-class WordBpe:
+class WordBpe(_Vocabulary):
     """word_bpe: ids of a text, packed."""
 
     def __init__(self, path: str):
-        self.made = _tokenizer(path)
+        super().__init__(path)
         self.units = _Units(self.made, self.whole, "", True)
 
-    def whole(self, text: str) -> bytes:
-        return _packed(self.made.encode(text, add_special_tokens=False).ids)
-
-    def packed(self, text: str) -> bytes:
+    def by_units(self, text: str) -> bytes:
         return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
 
 
