@@ -8,11 +8,14 @@ bins of each pattern.
 
 The genetic algorithm is the grouping kind (bins are the genes):
 
-* first solutions: best-fit of the lengths, in descending order and in disturbed orders;
+* first solutions: best-fit of the lengths, and bins filled as exactly as the lengths that
+  are left allow (the longest piece, and the sum of others that comes nearest to the room
+  beside it), each in descending order and in disturbed orders;
 * crossover: whole well-filled bins of one parent are injected into a child; the bins of
   the other parent that would use a piece twice are removed, all others kept; the pieces
   displaced by this are packed again by best-fit, into bins with room first;
-* mutation: some of the least filled bins are dissolved and packed again by best-fit;
+* mutation: the least filled bins and some others are dissolved and packed again, by best-fit
+  or by exact filling;
 * fitness: fewest bins, then the mean square of their fill.
 
 Islands are Spark tasks; each evolves a population of its own (its seed is its number)
@@ -48,7 +51,7 @@ from corvane.llm.common import durable, id_and_text, small_batches
 CAPACITY = 1024
 END_ID = 2
 #: Islands, epochs, generations in an epoch, solutions on an island.
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 8, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 10, 6
 #: Most patterns of a solution that moves or is returned; the rest is packed again.
 PATTERNS = 20_000
 
@@ -159,6 +162,49 @@ def best_fit(sizes: dict[int, int], capacity: int, order: list[int] | None = Non
     return held.solution()
 
 
+def exact_fill(sizes: dict[int, int], capacity: int, rng: random.Random | None = None, bins: Solution | None = None) -> Solution:
+    """Bins of the longest piece left and the pieces whose sum comes nearest to the room beside it.
+
+    With rng, lengths are tried in a disturbed order and a pattern is not used as often as it could be.
+    """
+    left = {s: n for s, n in sizes.items() if n}
+    out = dict(bins or {})
+    order = sorted(left, reverse=True)
+    while left:
+        order = [s for s in order if s in left]
+        longest = order[0]
+        room = capacity - longest
+        # sums that can be reached, as bits, and the piece each was first reached by
+        sums, by, inside = 1, {}, (1 << (room + 1)) - 1
+        for size in order if rng is None else sorted(order, key=lambda s: -s * rng.uniform(0.5, 1.0)):
+            new = sums
+            for _ in range(min(left[size] - (size == longest), room // size)):
+                new = new << size & inside & ~sums
+                if not new:
+                    break
+                sums |= new
+                bits = new
+                while bits:
+                    low = bits & -bits
+                    by[low.bit_length() - 1] = size
+                    bits ^= low
+            if sums >> room & 1:
+                break
+        own, at = Counter([longest]), sums.bit_length() - 1
+        while at:
+            own[by[at]] += 1
+            at -= by[at]
+        n = min(left[s] // c for s, c in own.items())
+        n = n if rng is None else rng.randint(1, n)
+        pattern = tuple(sorted(own.elements(), reverse=True))
+        out[pattern] = out.get(pattern, 0) + n
+        for s, c in own.items():
+            left[s] -= c * n
+            if not left[s]:
+                del left[s]
+    return out
+
+
 def fitness(solution: Solution, capacity: int) -> tuple[int, float]:
     bins = sum(solution.values())
     return -bins, sum(n * (sum(p) / capacity) ** 2 for p, n in solution.items()) / max(1, bins)
@@ -203,14 +249,18 @@ def mutated(solution: Solution, sizes: dict[int, int], capacity: int, rng: rando
         if n > gone:
             kept[pattern] = n - gone
     left = {s: n for s, n in _left(sizes, kept).items() if n}
+    if rng.random() < 0.5:
+        return exact_fill(left, capacity, rng, kept)
     order = sorted(left, key=lambda s: -s * rng.uniform(0.9, 1.0))
     return best_fit(left, capacity, order, kept)
 
 
 def evolve(sizes: dict[int, int], capacity: int, population: list[Solution], generations: int, rng: random.Random) -> list[Solution]:
+    if not population:
+        population = [best_fit(sizes, capacity), exact_fill(sizes, capacity)]
     while len(population) < POPULATION:
-        order = sorted(sizes, key=lambda s: -s * rng.uniform(0.85, 1.0)) if population else None
-        population.append(best_fit(sizes, capacity, order))
+        order = sorted(sizes, key=lambda s: -s * rng.uniform(0.85, 1.0))
+        population.append(exact_fill(sizes, capacity, rng) if len(population) % 2 else best_fit(sizes, capacity, order))
     least = -(-sum(s * n for s, n in sizes.items()) // capacity)
     key = lambda s: fitness(s, capacity)
     population = sorted(population, key=key, reverse=True)[:POPULATION]
