@@ -14,39 +14,45 @@ first, and only what may repeat is sorted:
    have a window that is no repeat; the others are covered whole. Each task reduces its
    own records to the first of a class before the shuffle, so a passage that a third of
    all documents share comes from each task once. An anchor with one class is done.
-3. Suffix arrays. The first records of the other classes (spans that share the anchor,
+3. Hot anchors. An anchor that more than SPANS such first records share (a very common
+   line in ever different surroundings) is refined: each of its windows holds either so
+   many bytes to the left of the anchor or so many to the right, so a record becomes two,
+   one for either half of its windows, with the longer common part as its new anchor; these
+   meet again by step 2. As a part grows to a whole window in at most seven rounds, this
+   ends, and no anchor that is left has more than SPANS spans.
+4. Suffix arrays. The first records of the other classes (spans that share the anchor,
    but not all around it) get their bytes again, meet by a, and are concatenated, with
    separators, to texts of bounded size. The two-stage construction sorts their suffixes:
    only suffixes smaller than their successor are sorted directly, to a depth of WINDOW
    bytes; all others are induced by scanning the buckets of first bytes in order. Common
    prefixes of neighbours then show windows that are equal; all but the earliest are
-   covered. An anchor with more than SPANS spans has its windows dealt out by their
-   128-bit hashes instead, with the same result.
-4. Covered intervals return to their documents, which are cut and hashed.
+   covered.
+5. Covered intervals return to their documents, which are cut and hashed.
 
 Equal spans are recognised by 128 bits of hash; windows in the suffix arrays by their
 bytes. Strings are judged on the input. Null texts are empty; rows with the same id are
-told apart by their text's order, equal rows by position. An empty table gives an empty
-table. Only doc_id and text are read.
+told apart by their text's order, equal rows by position; null ids come first. An empty
+table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import durable, id_and_text, small_batches, written
+from corvane.llm.common import durable, id_and_text, rows_of, small_batches, written
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a block of documents that anchors are found in at once, and of a suffix array.
 BLOCK, SORTED = 1 << 21, 1 << 20
-#: Spans of an anchor that are sorted in one task.
-SPANS = 4096
+#: Spans of an anchor that are sorted in one task; an anchor with more is refined.
+SPANS = 1024
 #: Ids that may be broadcast to leave out documents without repeats.
 BROADCAST_IDS = 1_000_000
 
@@ -334,68 +340,100 @@ def repeated_windows(spans: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, n
     return docs[~first], starts[~first]
 
 
-_FOUND = "doc_id long, span long, w1 long, w2 long"
+_FOUND = "doc_id long, span long"
 
 
 def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans sorted by a: covered intervals, and windows (w1, w2: their hash) of anchors with too many spans."""
-    import xxhash
-
-    held: list[tuple[int, int, bytes]] = []  # of anchors that are complete
-    own: list[tuple[int, int, bytes]] = []
-    size, last, hot = 0, None, False
+    """The covered intervals of spans that come sorted by a; whole anchors share a suffix array."""
+    held: list[tuple[int, int, bytes]] = []
+    size, last = 0, None
 
     def found() -> Iterator[pa.RecordBatch]:
         if held:
             docs, starts = repeated_windows(held)
             docs, span = _merged(docs, starts << 32 | starts + WINDOW)
             if len(docs):
-                none = pa.nulls(len(docs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(span), none, none], ["doc_id", "span", "w1", "w2"])
-
-    def windows(spans: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        rows = [
-            (d, s + i << 32 | s + i + WINDOW, xxhash.xxh3_128_intdigest(b[i : i + WINDOW]))
-            for d, s, b in spans
-            for i in range(len(b) - WINDOW + 1)
-        ]
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([signed(r[2] >> 64) for r in rows], pa.int64()),
-                pa.array([signed(r[2] & (1 << 64) - 1) for r in rows], pa.int64()),
-            ],
-            ["doc_id", "span", "w1", "w2"],
-        )
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(span)], ["doc_id", "span"])
 
     for batch in batches:
         for a, doc, low, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if a != last:
-                if hot and own:
-                    yield from windows(own)
-                else:
-                    held += own
-                own, hot, last = [], False, a
-                if size >= SORTED:
-                    yield from found()
-                    held, size = [], 0
-            own.append((doc, low, data))
-            if hot or len(own) > SPANS:
-                if hot and len(own) < 256:
-                    continue
-                yield from windows(own)
-                own, hot = [], True
-            elif not hot:
-                size += len(data)
-        if hot and own:
-            yield from windows(own)
-            own = []
-    held += own
+            if a != last and size >= SORTED:
+                yield from found()
+                held, size = [], 0
+            last = a
+            held.append((doc, low, data))
+            size += len(data)
     yield from found()
 
 
+# ---- hot anchors -------------------------------------------------------------------
+
+
+def _packed(low: int, end: int, core: int, size: int) -> int:
+    """A refined span: its first byte, its length, the place of the common part in it and that part's length."""
+    return low << 24 | end - low << 16 | core - low << 8 | size
+
+
+def halves(a: int, low: int, end: int, data: bytes, core: int, size: int) -> Iterator[tuple[int, int, int]]:
+    """(a, x, packed span) of the two records that a record of a hot anchor becomes.
+
+    The record's windows start from low to end - WINDOW of the document `data`, and all
+    hold its bytes from `core` on, `size` of them (less than WINDOW).
+    """
+    import xxhash
+
+    slack = WINDOW - size
+    half = (slack + 1) // 2
+    # a window that starts `half` or more before the part holds so many bytes to its left, any other the rest to its right
+    last = min(core - half, end - WINDOW)
+    parts = [(0, low, last + WINDOW, core - half, size + half)] if low <= last else []
+    first = max(low, core - half + 1)
+    if first <= end - WINDOW:
+        parts.append((1, first, end, core, size + slack - half + 1))
+    for side, s, e, c, n in parts:
+        key = xxhash.xxh3_64_intdigest(data[c : c + n], seed=side)
+        x = xxhash.xxh3_64_intdigest(data[s:e], seed=c - s)
+        x = 0 if x == 0xFFFFFFFFFFFFFFFF else x
+        yield key - (1 << 64) if key >> 63 else key, x - (1 << 64) if x >> 63 else x, _packed(s, e, c, n)
+
+
+def anchor_place(a: int, low: int, end: int, data: bytes) -> int:
+    """Where a record's anchor stands: the first place in all of its windows with the anchor's hash."""
+    at = end - WINDOW
+    with np.errstate(over="ignore"):
+        h = gram_hashes(np.frombuffer(data, np.uint8, low + WINDOW - at, at)).view(np.int64)
+    return at + int(np.flatnonzero(h == a)[0])
+
+
+def refined_rows(own: DataFrame, first: bool) -> DataFrame:
+    """(a, x, doc_id, packed span) of the halves of hot anchors' records; own: doc_id, text, spans (a, span).
+
+    first: the spans are those of anchors (start << 32 | end), else packed ones. Of a
+    task's records of a class only the first keeps x, as in anchor_rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch, 64):
+                rows: list[tuple[int, int, int, int]] = []
+                for doc_id, text, spans in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    data = text.encode("utf-8", "surrogatepass")
+                    for r in spans:
+                        a, s = r["a"], r["span"]
+                        if first:
+                            low, end = s >> 32, s & 0xFFFFFFFF
+                            core, size = anchor_place(a, low, end, data), GRAM
+                        else:
+                            low = s >> 24
+                            end, core, size = low + (s >> 16 & 0xFF), low + (s >> 8 & 0xFF), s & 0xFF
+                        rows += [(key, x, doc_id, span) for key, x, span in halves(a, low, end, data, core, size)]
+                a, x, doc, span, one = _firsts(*np.array(rows, np.int64).reshape(-1, 4).T)
+                x = np.where(one, x, COVERED)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, x, doc, span)], ["a", "x", "doc_id", "span"])
+
+    return own.mapInArrow(run, _ROWS)
+
+
 # ---- the operator ------------------------------------------------------------------
 
 
@@ -405,16 +443,36 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, text, spans) of the documents that have some of these spans (a, doc_id, span)."""
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "span")).alias("spans"))
+    own = _among(docs.select("doc_id", "text"), spans.select("doc_id").distinct())
+    return own.join(listed, "doc_id").select("doc_id", "text", "spans")
+
+
 def covered_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, span) of all repeated bytes, as start << 32 | end; docs: doc_id and text, ids unique."""
-    rows = anchor_rows(docs).repartition("a").sortWithinPartitions("a", "x", "doc_id", "span")
-    met = written(rows.mapInArrow(_classes, "kind byte, a long, doc_id long, span long"), "repeats")
-    firsts = met.where("kind = 1")
+    small_batches(docs.sparkSession)
+    rows, whole, covered, few = anchor_rows(docs), True, [], []
+    while True:
+        sorted_rows = rows.repartition("a").sortWithinPartitions("a", "x", "doc_id", "span")
+        met = written(sorted_rows.mapInArrow(_classes, "kind byte, a long, doc_id long, span long"), "repeats")
+        low = F.shiftright("span", 24)
+        plain = F.col("span") if whole else F.shiftleft(low, 32) + low + F.shiftright("span", 16).bitwiseAND(0xFF)
+        covered.append(met.where("kind = 0").select("doc_id", plain.alias("span")))
+        firsts = met.where("kind = 1").select("a", "doc_id", "span")
+        hot = durable(firsts.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SPANS).select("a"))
+        n_hot = hot.limit(BROADCAST_IDS + 1).count()
+        if not n_hot:
+            few.append(firsts.select("a", "doc_id", plain.alias("span")))
+            break
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        few.append(firsts.join(hot, "a", "left_anti").select("a", "doc_id", plain.alias("span")))
+        rows, whole = refined_rows(_with_spans(docs, firsts.join(hot, "a", "left_semi")), whole), False
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for part in rows_of(batch, 64):
                 out: tuple[list, ...] = ([], [], [], [])
                 for doc_id, text, spans in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
@@ -425,17 +483,9 @@ def covered_intervals(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["a", "doc_id", "low", "data"])
 
-    listed = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("a", "span")).alias("spans"))
-    own = _among(docs.select("doc_id", "text"), firsts.select("doc_id").distinct())
-    spans = own.join(listed, "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, "a long, doc_id long, low long, data binary")
+    spans = _with_spans(docs, reduce(DataFrame.union, few)).mapInArrow(cut, "a long, doc_id long, low long, data binary")
     found = written(spans.repartition("a").sortWithinPartitions("a").mapInArrow(_sorted_spans, _FOUND), "windows")
-    covered = met.where("kind = 0").select("doc_id", "span").union(found.where("w1 IS NULL").select("doc_id", "span"))
-    hot = found.where("w1 IS NOT NULL")
-    if hot.limit(1).count():
-        least = hot.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "span")).alias("least"))
-        again = hot.join(least, ["w1", "w2"]).where(F.struct("doc_id", "span") != F.col("least"))
-        covered = covered.union(again.select("doc_id", "span"))
-    return covered
+    return reduce(DataFrame.union, [*covered, found])
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

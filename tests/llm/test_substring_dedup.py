@@ -82,7 +82,7 @@ def test_two_stage_order_equals_sorting(depth):
         assert keys == sorted(keys)
 
 
-def test_repeated_windows_and_hot_anchors_agree(monkeypatch):
+def test_repeated_windows_equal_brute_force():
     rng = random.Random(5)
     base = bytes(rng.choice(b"abcd") for _ in range(168))
     spans = [(d, 10 * d, base[a : a + rng.randint(100, 168 - a)] + bytes(rng.choice(b"xy") for _ in range(3))) for d in range(60) for a in (rng.randint(0, 60),)]
@@ -95,30 +95,59 @@ def test_repeated_windows_and_hot_anchors_agree(monkeypatch):
             seen.add(b[i : i + 100])
     docs, starts = S.repeated_windows(spans)
     assert set(zip(docs.tolist(), starts.tolist(), strict=True)) == want
-    # the same spans as one anchor with more than it may have: windows come out by their hashes
-    monkeypatch.setattr(S, "SPANS", 5)
-    batch = pa.RecordBatch.from_pydict({"a": [1] * len(spans), "doc_id": [d for d, _, _ in spans], "low": [s for _, s, _ in spans], "data": [b for _, _, b in spans]})
-    parts = [batch.slice(i, 7) for i in range(0, len(spans), 7)]
-    rows = pa.Table.from_batches(list(S._sorted_spans(iter(parts)))).to_pylist()
-    assert all(r["w1"] is not None for r in rows)
-    least: dict = {}
-    for r in rows:
-        key, at = (r["w1"], r["w2"]), (r["doc_id"], r["span"])
-        least[key] = min(least.get(key, at), at)
-    assert {(r["doc_id"], r["span"] >> 32) for r in rows if least[r["w1"], r["w2"]] != (r["doc_id"], r["span"])} == want
-
-
-def test_hot_anchor_followed_by_another_in_a_batch(monkeypatch):
-    rng = random.Random(6)
-    text = bytes(rng.choice(b"abcd") for _ in range(130))
-    monkeypatch.setattr(S, "SPANS", 5)
-    # anchor 1 is hot after six spans, and a few more wait when anchor 2 comes
-    spans = [(1, d, 0, text) for d in range(20, 10, -1)] + [(2, d, 500, text[::-1]) for d in range(3)]
-    batch = pa.RecordBatch.from_pydict({k: [s[i] for s in spans] for i, k in enumerate(("a", "doc_id", "low", "data"))})
-    rows = pa.Table.from_batches(list(S._sorted_spans(iter([batch])))).to_pylist()
-    hashed = [r for r in rows if r["w1"] is not None]
-    assert sorted((r["doc_id"], r["span"] >> 32) for r in hashed) == [(d, i) for d in range(11, 21) for i in range(31)]
-    assert {r["doc_id"] for r in rows if r["w1"] is None} == {1, 2}
+
+
+def test_halves_share_keys_of_equal_windows():
+    """Each window is in one half; equal windows of two documents have the same keys down to whole windows."""
+    rng = random.Random(7)
+    part = bytes(rng.choice(b"abc") for _ in range(150))
+    texts = [bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 90))) + part + bytes(rng.choice(b"xyz") for _ in range(90)) for _ in range(2)]
+    keys = []
+    for data in texts:
+        own: dict[bytes, set] = {}
+        at = data.index(part) + 55
+        waiting = [(0, max(0, at - 68), min(len(data), at + 100), at, 32, ())]
+        while waiting:
+            a, low, end, core, size, path = waiting.pop()
+            starts = list(range(low, end - 99))
+            if size == 100:
+                assert starts == [core]
+                own.setdefault(data[core : core + 100], set()).add(path)
+                continue
+            parts = list(S.halves(a, low, end, data, core, size))
+            split = []
+            for key, _, packed in parts:
+                s = packed >> 24
+                e, c, n = s + (packed >> 16 & 255), s + (packed >> 8 & 255), packed & 255
+                assert size < n <= 100
+                assert all(w <= c and c + n <= w + 100 for w in range(s, e - 99))
+                split += range(s, e - 99)
+                waiting.append((key, s, e, c, n, (*path, key)))
+            assert sorted(split) == starts
+        keys.append(own)
+    shared = keys[0].keys() & keys[1].keys()
+    assert len(shared) >= 51
+    assert all(keys[0][w] == keys[1][w] for w in shared)
+
+
+@pytest.mark.parametrize("spans", [1, 3])
+def test_hot_anchors_equal_brute_force(spark, monkeypatch, spans):
+    monkeypatch.setattr(S, "SPANS", spans)
+    rng = random.Random(9)
+    ws = ["alpha", "beta", "gamma", "delta", "zeta", "eta", "theta", "iota", "kappa"]
+    line = lambda k: " ".join(rng.choice(ws) for _ in range(k))
+    common = [line(9), line(16), line(40)]
+    docs = [(i, line(rng.randint(0, 25)) + common[i % 3][rng.randint(0, 9) :] + line(rng.randint(0, 25))) for i in range(150)]
+    docs += [(200, "ab" * 150), (201, "x" * 260), (202, "x" * 300)]
+    assert results(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
+
+
+def test_null_ids_come_first(spark):
+    text = "".join(chr(97 + i * i % 26) + str(i) for i in range(90))
+    rows = S.deduplicate(spark.createDataFrame([(4, text), (None, text), (None, text + "x"), (None, None)], "doc_id long, text string")).collect()
+    found = sorted(((r.doc_id is not None, r.n_bytes, r.n_removed) for r in rows))
+    n = len(text)
+    assert found == [(False, 0, 0), (False, n, 0), (False, n + 1, n), (True, n, n)]
 
 
 def test_classes_over_batch_edges():
