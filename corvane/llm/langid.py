@@ -13,15 +13,20 @@ Training texts have one language each, so code-switched sequences are made of th
 of words of different documents joined, beside runs of one document. The model is fitted
 by gradient ascent on the conditional log-likelihood (Adam), which needs no library.
 
-Bounds of the training sample: about SAMPLE documents a language (chosen by hashed id,
-so that a language with fewer gives all), at most SAMPLE_WORDS words of each from a
-place that its id picks. The model is BUCKETS weights a language and at most LEXICON words,
-whatever the corpus. Everything is predicted on whole texts.
+Bound of the training sample: about SAMPLE distinct documents a language (chosen by a hash,
+so that a language with fewer gives all; equal rows count once), each with its whole text.
+The model is BUCKETS weights a language and at most LEXICON words, whatever the corpus.
+
+Everything is predicted on whole texts. A text of more than LONG words is cut into blocks
+that are worked on side by side: the product of the transition and word scores over a
+block carries what stands before it to what stands behind, and back. This is the same
+forward-backward over all its words, not an estimate.
 
 Only text and non-null lang of documents with crc32(doc_id as text) mod 3 <> 1 are
-learned from; lang, source and doc_id are no input of a prediction. `und` is predicted
-for null texts and texts without a letter, with score 0; without any training text, for
-all. Repeated rows have repeated results, an empty table none. Extra columns are not read.
+learned from (a null doc_id counts as empty text); lang, source and doc_id are no input of
+a prediction. `und` is predicted for null texts and texts without a letter (Unicode
+category L), with score 0; without any training text, for all. Repeated rows, and rows of
+one id, have a result each, an empty table none. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +43,14 @@ from pyspark.sql import functions as F
 from corvane.llm.common import rows_of, small_batches
 
 BUCKETS = 1 << 17
-SAMPLE, SAMPLE_WORDS = 250, 160
+SAMPLE = 120
 LEXICON = 5000
 RUN, STEPS, RATE, DECAY = 32, 40, 0.1, 1e-4
 SEED = 11
 #: Words whose scores a worker keeps.
 CACHE = 400_000
+#: Words of a text beyond which it is worked on by blocks, words in a block, blocks held at once.
+LONG, BLOCK, HELD = 1 << 15, 256, 256
 UNKNOWN = "und"
 #: In the filter: documents with a lower score, little above that of a guess, are rejected.
 LEAST_SCORE = 0.3
@@ -53,7 +60,12 @@ _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The runs of letters of the lower-cased text."""
+    found = _WORD.findall((text or "").lower())
+    if not found or "".join(found).isalpha():
+        return found
+    # the expression also takes numerals that are no digits, as in fractions
+    return [w for own in found for w in ([own] if own.isalpha() else "".join(c if c.isalpha() else " " for c in own).split())]
 
 
 def ngrams(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +139,77 @@ def forward_backward(emit: np.ndarray, turns: np.ndarray, start: np.ndarray, len
     return ahead
 
 
+def long_sums(scores, ids: np.ndarray, turns: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The sum of the posteriors of one long sequence, by blocks; scores: of each number in `ids`.
+
+    A block's product of (transition, word) matrices takes the vector in front of it to its
+    end, and the vector behind it to its start; with these, all blocks are worked on at once.
+    """
+    t = np.exp(turns - turns.max())
+    k = len(start)
+
+    def weights(numbers: np.ndarray) -> np.ndarray:
+        own = scores[numbers].astype(float)
+        return np.exp(own - own.max(axis=-1, keepdims=True))
+
+    first, rest = weights(ids[:1])[0] * np.exp(start - start.max()), ids[1:]
+    first /= first.sum()
+    n_blocks = -(-len(rest) // BLOCK)
+    ids_of = lambda b, c: rest[b * BLOCK : c * BLOCK]
+
+    def padded(b: int, c: int) -> tuple[np.ndarray, int]:
+        """Weights (place, block, language) of the blocks from b to c, and the length of the last."""
+        own = ids_of(b, c)
+        e = np.ones(((c - b) * BLOCK, k))
+        e[: len(own)] = weights(own)
+        return e.reshape(c - b, BLOCK, k).transpose(1, 0, 2), (len(own) - 1) % BLOCK + 1
+
+    # the product of each block
+    products = np.empty((n_blocks, k, k))
+    for b in range(0, n_blocks, HELD):
+        c = min(n_blocks, b + HELD)
+        e, last = padded(b, c)
+        m = np.broadcast_to(np.eye(k), (c - b, k, k))
+        for i in range(BLOCK):
+            more = (m @ t) * e[i][:, None, :]
+            if c == n_blocks and i >= last:
+                more[-1] = m[-1]
+            m = more / more.sum(axis=(1, 2), keepdims=True)
+        products[b:c] = m
+    ahead, back = np.empty((n_blocks, k)), np.ones((n_blocks, k))
+    v = first
+    for b in range(n_blocks):
+        ahead[b] = v
+        v = v @ products[b]
+        v /= v.sum()
+    for b in range(n_blocks - 1, 0, -1):
+        w = products[b] @ back[b]
+        back[b - 1] = w / w.sum()
+    # posteriors inside the blocks
+    p = first * (products[0] @ back[0]) if n_blocks else first
+    total = p / p.sum()
+    for b in range(0, n_blocks, HELD):
+        c = min(n_blocks, b + HELD)
+        e, last = padded(b, c)
+        there = np.ones((BLOCK, c - b), bool)
+        if c == n_blocks:
+            there[last:, -1] = False
+        a, own = ahead[b:c], np.empty((BLOCK, c - b, k))
+        for i in range(BLOCK):
+            a = (a @ t) * e[i]
+            a /= a.sum(axis=1, keepdims=True)
+            own[i] = a
+        w = back[b:c].copy()
+        for i in range(BLOCK - 1, -1, -1):
+            p = own[i] * w
+            p /= p.sum(axis=1, keepdims=True)
+            total = total + p[there[i]].sum(axis=0)
+            before = (w * e[i]) @ t.T
+            before /= before.sum(axis=1, keepdims=True)
+            w = np.where(there[i][:, None], before, w)
+    return total
+
+
 def fit(sample: list[tuple[str, list[str]]]) -> Crf | None:
     """A model of (language, words) documents."""
     sample = [(lang, ws) for lang, ws in sample if ws]
@@ -271,11 +354,12 @@ class Predictor:
         while at < len(order):
             # texts of like length together: the padded block is bounded
             longest = len(split[order[at]])
-            end = at + max(1, min(len(order) - at, 400_000 // longest))
+            end = at + (1 if longest > LONG else min(len(order) - at, 400_000 // longest))
             group = order[at:end]
             at = end
-            if longest > 400_000:
-                sums = self._long(split[group[0]], turns, start)[None]
+            if longest > LONG:
+                ids, held = self._rows(split[group[0]])
+                sums = long_sums(held, ids, turns, start)[None]
                 lengths = np.array([longest])
             else:
                 lengths = np.array([len(split[i]) for i in group])
@@ -288,25 +372,15 @@ class Predictor:
                 out[i], score[i] = self.model.languages[b], min(1.0, s / n)
         return out, score
 
-    def _long(self, of: list[str], turns: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Sums of a very long text, by blocks that overlap: far words hardly bear on a word."""
-        total = np.zeros(len(self.model.languages))
-        size, side = 100_000, 200
-        for at in range(0, len(of), size):
-            low, high = max(0, at - side), min(len(of), at + size + side)
-            ids, held = self._rows(of[low:high])
-            post = forward_backward(held[ids][None].astype(float), turns, start, np.array([high - low]))[:, 0]
-            total += post[at - low : min(at + size, len(of)) - low].sum(axis=0)
-        return total
-
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
-    """(language, words) of about SAMPLE documents a language, chosen by their hashed id."""
-    able = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """(language, words) of about SAMPLE distinct documents a language, chosen by their hash; whole texts."""
+    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    able = own.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
@@ -314,15 +388,9 @@ def training_sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, span if n <= SAMPLE else max(1, SAMPLE * span // n)).otherwise(share)
-    chosen = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share)
-    n_words = F.size("w")
-    begin = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.greatest(n_words - SAMPLE_WORDS + 1, F.lit(1))).cast("int") + 1
-    cut = (
-        chosen.select("doc_id", "lang", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
-        .select("doc_id", "lang", F.slice("w", begin, F.lit(SAMPLE_WORDS)).alias("w"))
-    )
-    rows = cut.collect()
-    return [(r["lang"], list(r["w"])) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["w"]))]
+    chosen = able.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share).distinct()
+    rows = sorted(chosen.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    return [(r["lang"], words(r["text"])) for r in rows]
 
 
 def predict(docs: DataFrame, model: Crf | None) -> DataFrame:

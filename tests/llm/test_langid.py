@@ -61,6 +61,61 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(got[:n, r], p / p.sum(axis=1, keepdims=True))
 
 
+@pytest.mark.parametrize("n", [2, 6, 7, 12, 13, 400])
+def test_long_texts_by_blocks_equal_one_pass(monkeypatch, n):
+    monkeypatch.setattr(L, "BLOCK", 6)
+    monkeypatch.setattr(L, "HELD", 3)
+    rng = np.random.default_rng(n)
+    scores, ids = rng.normal(scale=6, size=(9, 3)), rng.integers(0, 9, n)
+    turns, start = rng.normal(scale=2, size=(3, 3)), rng.normal(size=3)
+    want = L.forward_backward(scores[ids][None], turns, start, np.array([n]))[:, 0].sum(axis=0)
+    assert np.allclose(L.long_sums(scores, ids, turns, start), want)
+
+
+def test_a_very_long_text_equals_a_plain_run(model):
+    rng = random.Random(4)
+    ws = [w for lang in ("xx", "yy") for w in WORDS[lang]] + ["other"]
+    text = " ".join(rng.choice(ws) for _ in range(500_000))
+    (lang,), (score,) = L.Predictor(model).documents([text])
+    emit = model.scores(L.words(text))[None]
+    sums = L.forward_backward(emit, model.turns.astype(float), model.start.astype(float), np.array([500_000])).sum(axis=(0, 1))
+    assert lang == model.languages[int(sums.argmax())]
+    assert score == pytest.approx(sums.max() / 500_000)
+
+
+@pytest.mark.parametrize("text", ["½²", "Ⅷ", "12 34", "_", "①", "٣", "", None, "\u0301"])
+def test_no_letter_is_no_language(model, text):
+    assert L.Predictor(model).documents([text])[0] == ["und"]
+    assert L.words("a½b Ⅷx²") == ["a", "b", "x"]
+
+
+def test_predictions_equal_a_run_of_each_text(spark):
+    """The query's rows against the model fitted apart and one sequence a text."""
+    df = spark.createDataFrame(docs(80) + [(80, None, "xx"), (None, "oro moro", "xx"), (3, "ikki", "yy"), (3, "ikki", "yy")], "doc_id long, text string, lang string")
+    own = L.fit(L.training_sample(df))
+    rows = L.identify(df).collect()
+    assert len(rows) == 84
+    texts = {}
+    for r in df.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    for r in rows:
+        found = []
+        for text in texts[r.doc_id]:
+            ws = L.words(text)
+            if ws:
+                sums = L.forward_backward(own.scores(ws)[None], own.turns.astype(float), own.start.astype(float), np.array([len(ws)])).sum(axis=(0, 1))
+                found.append((own.languages[int(sums.argmax())], sums.max() / len(ws)))
+            else:
+                found.append(("und", 0.0))
+        assert any(r.lang_pred == lang and abs(r.score - score) < 1e-4 for lang, score in found)
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 10)
+    df = spark.createDataFrame([(7, "oro moro loro", "xx")] * 500 + [(8, f"ikki {i}", "yy") for i in range(500)], "doc_id long, text string, lang string")
+    assert 0 < len(L.training_sample(df)) < 40
+
+
 def test_odd_documents(spark):
     found = {r.doc_id: r for r in L.identify(odd.frame(spark)).collect()}
     assert len(found) == 120
