@@ -6,25 +6,32 @@ are runs of letters and digits of the lower-cased text; a shingle is five words
 a text of one to four words has one shingle, all its words.
 
 Banded MinHash signatures of whole documents would need thousands of hashes to find an
-item of 40 shingles in a text of 20,000: their Jaccard similarity is 0.002. So the sketch
-is taken of the short side, and its size follows from the item's size:
+item of 40 shingles in a text of 20,000: their Jaccard similarity is 0.002. So sketches
+follow the short side's size:
 
 * Items are partitioned by their number of shingles, in powers of two. All items of a
-  partition use the sketch size of its upper bound u: floor((1 - containment) * u) + 1
+  partition use the sketch size of its upper bound u: k = floor((1 - containment) * u) + 1
   smallest hashes (a bottom-k MinHash, of all shingles where the item has fewer).
-* A document that contains an item lacks at most floor((1 - containment) * n) of its n
-  shingles, so it has at least one of the sketch's: the search misses nothing.
-* Documents with fewer shingles than the partition's lower bound requires are left out
-  of its candidates.
-* Candidates are verified on the shingles themselves, not on hashes.
-
-The items' sketch is broadcast only if it has at most BROADCAST_ROWS rows, which is
-counted; otherwise the search is a shuffled join on the hash. Only documents with a
-candidate go through the exact check. All steps are linear in documents and matches; a
-passage that many documents share gives one row per document and item.
-
-Null or empty texts and items contain nothing and are in nothing. Repeated rows of an id
-count once, as their shingles together. Extra columns are not read.
+* A partition has a lower bound on documents, `least`: a document that contains one of its
+  items has that many shingles; and a hash bound, `tau`: the largest hash in its sketches.
+* A document's sketch are its shingles' hashes up to the largest `tau` of those partitions
+  whose `least` it reaches: partitions of longer items neither see it nor lengthen its
+  sketch. One pass over the documents probes all partitions they are sent to.
+
+Why nothing is missed: of an item's n shingles a document that contains it lacks at most
+floor((1 - containment) * n), which is less than k. So it has one of the k smallest, whose
+hash is at most `tau`, and which is therefore in the document's sketch. Recall is 1 for each
+partition; a candidate is verified on the shingles themselves, not on hashes.
+
+Items with equal sets of shingles (by count and two 64-bit sums of hashes) are searched for
+once. What may be broadcast is counted: at most BROADCAST_ROWS rows of hashes or ids, beyond
+that joins are shuffled. Only documents with a candidate go through the exact check, and
+only with shingles that some item has. A passage that many documents share gives one row
+for each document and item.
+
+Null or empty texts and items contain nothing and are in nothing. Repeated rows of an id,
+documents without an id too, count once, as their shingles together; items without an id
+are not searched for. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,9 +39,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import durable
+
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Rows of hashes (16 bytes each) that may be broadcast.
+#: Rows of hashes or ids (16 bytes each) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
@@ -44,89 +53,107 @@ def words(text: Column) -> Column:
 
 
 def _starts(w: Column) -> Column:
-    """Start of each shingle in an array of words, from 1; none for no words."""
+    """Start of each shingle in an array of words, from 0; none for no words."""
     return F.when(
-        F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
+        F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
     ).otherwise(F.array().cast("array<int>"))
 
 
-def _shingles(df: DataFrame, key: str, **more: Column) -> DataFrame:
-    """Distinct (key, shingle) of a table with the arrays of words in `w`."""
-    each = df.select(key, "w", F.explode(_starts(F.col("w"))).alias("i"))
-    return each.select(key, F.concat_ws(" ", F.slice("w", F.col("i"), F.lit(SHINGLE))).alias("shingle")).distinct()
+def _hash_at(hashes: Column, i: Column) -> Column:
+    """The hash of the shingle at i, of its words' hashes; words behind the end are null and don't count."""
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(SHINGLE)])
 
 
-def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> tuple[DataFrame, DataFrame]:
-    """All shingles (item_id, shingle, n) and the sketches (h, item_id, least), least: shingles a document must have."""
-    shingles = _shingles(items.select("item_id", words(F.col("text")).alias("w")), "item_id")
-    sized = shingles.groupBy("item_id").agg(F.count("*").alias("n"))
-    shingles = shingles.join(sized, "item_id")
-    # partition by the number of binary digits: sizes from 2^(digits - 1) to 2^digits - 1
-    lower = F.pow(F.lit(2), F.length(F.bin("n")) - 1).cast("long")
-    upper = 2 * lower - 1
-    sketch_size = F.floor((1 - F.lit(containment)) * upper + 1e-9) + 1
-    hashed = shingles.select(
-        "item_id",
-        F.xxhash64("shingle").alias("h"),
-        sketch_size.alias("k"),
-        F.ceil(F.lit(containment) * lower - 1e-9).alias("least"),
+def _worded(df: DataFrame, key: str) -> DataFrame:
+    """key, the words w of each text and their hashes wh."""
+    own = df.select(key, words(F.col("text")).alias("w"))
+    return own.select(key, "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+
+
+def _few(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A table, to be broadcast if it has at most BROADCAST_ROWS rows, and whether it has."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (F.broadcast(df) if few else df), few
+
+
+def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Searched items' shingles (item, shingle, h, n), their sketches (h, item, least, part), and all items' (item, item_id, n).
+
+    `item` is the smallest item_id of those with equal shingles.
+    """
+    each = _worded(items.where("item_id IS NOT NULL"), "item_id").select("item_id", "w", "wh", F.explode(_starts(F.col("w"))).alias("i"))
+    text = F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(SHINGLE)))
+    shingles = each.select("item_id", text.alias("shingle"), _hash_at(F.col("wh"), F.col("i")).alias("h")).distinct()
+    other = F.xxhash64(F.lit(3), "shingle")
+    sized = shingles.groupBy("item_id").agg(
+        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s1"), F.sum(other.cast("decimal(38,0)")).alias("s2")
     )
-    ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("h")))
-    return shingles, ranked.where("r <= k").select("h", "item_id", "least")
+    least = sized.groupBy("n", "s1", "s2").agg(F.min("item_id").alias("item"))
+    named = durable(sized.join(least, ["n", "s1", "s2"]).select("item_id", "n", "item"))
+    searched = named.where("item = item_id").select("item", "item_id", "n")
+    shingles = durable(shingles.join(searched, "item_id").select("item", "shingle", "h", "n"))
+    # partition by the number of binary digits: sizes from 2^(digits - 1) to 2^digits - 1
+    part = F.length(F.bin("n"))
+    lower = F.pow(F.lit(2), part - 1).cast("long")
+    k = F.floor((1 - F.lit(containment)) * (2 * lower - 1) + 1e-9) + 1
+    least = F.ceil(F.lit(containment) * lower - 1e-9)
+    ranked = shingles.select("item", "h", k.alias("k"), least.alias("least"), part.alias("part"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("h")))
+    return shingles, durable(ranked.where("r <= k").select("h", "item", "least", "part")), named
+
+
+def candidates(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Distinct (doc_id, item) of documents whose sketch meets the item's, and that are large enough for it."""
+    # a row for each partition: as many as an item's size has binary digits
+    parts = sketch.groupBy("part", "least").agg(F.max("h").alias("tau")).collect()
+    if not parts:
+        return docs.select("doc_id", F.lit(None).cast(sketch.schema["item"].dataType).alias("item")).limit(0)
+    size = F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))
+    bounds = [F.when(size >= r["least"], F.lit(r["tau"])) for r in parts]
+    tau = F.greatest(*bounds) if len(bounds) > 1 else bounds[0]
+    sent = _worded(docs, "doc_id").select("doc_id", "w", "wh", size.alias("size"), tau.alias("tau")).where("tau IS NOT NULL AND size(w) > 0")
+    own = F.filter(F.transform(_starts(F.col("w")), lambda i: _hash_at(F.col("wh"), i)), lambda h: h <= F.col("tau"))
+    probes = sent.select("doc_id", "size", F.explode(own).alias("h"))
+    keys, _ = _few(sketch.select("h", "item", "least"))
+    return probes.join(keys, "h").where("size >= least").select("doc_id", "item").distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment) of each item inside a document."""
-    shingles, sketch = item_sketches(items, containment)
-    rows = sketch.count()
-    keys = sketch.groupBy("h").agg(F.collect_list(F.struct("item_id", "least")).alias("owners"))
-    if rows <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    worded = docs.select("doc_id", words(F.col("text")).alias("w"))
-    # the hash of a shingle's text, built as in the sketch
-    looked = worded.select(
-        "doc_id",
-        F.size("w").alias("nw"),
-        F.explode(
-            F.transform(_starts(F.col("w")), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(F.col("w"), i, F.lit(SHINGLE)))))
-        ).alias("h"),
-    )
-    hits = looked.join(keys, "h").select("doc_id", "nw", F.explode("owners").alias("o"))
-    pairs = (
-        hits.where(F.greatest(F.col("nw") - (SHINGLE - 1), F.lit(1)) >= F.col("o.least"))
-        .select("doc_id", F.col("o.item_id").alias("item_id"))
-        .distinct()
+    shingles, sketch, named = item_sketches(items, containment)
+    pairs = durable(candidates(docs.select("doc_id", "text"), sketch))
+    found = _verified(docs, shingles, pairs, containment)
+    all_items, _ = _few(named.select("item", "item_id"))
+    return found.join(all_items, "item").select(
+        "doc_id", "item_id", "n_shared", F.col("n").alias("n_shingles"), (F.col("n_shared") / F.col("n")).alias("containment")
     )
-    return _verified(docs, shingles, pairs, containment)
 
 
 def _verified(docs: DataFrame, shingles: DataFrame, pairs: DataFrame, containment: float) -> DataFrame:
-    """The candidate pairs whose exact containment is high enough."""
-    from corvane.llm.common import durable
-
-    pairs = durable(pairs)
-    chosen = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    """(doc_id, item, n_shared, n) of the candidate pairs whose exact containment is high enough."""
+    chosen, _ = _few(pairs.select(F.col("doc_id").alias("d")).distinct())
+    own = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    each = _worded(own, "doc_id").select("doc_id", "w", "wh", F.explode(_starts(F.col("w"))).alias("i"))
     # a document needs only those of its shingles that some item has
-    of_docs = _shingles(chosen.select("doc_id", words(F.col("text")).alias("w")), "doc_id")
-    asked = pairs.join(shingles, "item_id")
+    known, _ = _few(shingles.select("h").distinct())
+    each = each.withColumn("h", _hash_at(F.col("wh"), F.col("i"))).join(known, "h", "left_semi")
+    text = F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(SHINGLE)))
+    of_docs = each.select(F.col("doc_id").alias("d"), text.alias("s")).distinct()
+    asked = pairs.join(shingles, "item")
     shared = (
-        asked.join(of_docs, ["doc_id", "shingle"])
-        .groupBy("doc_id", "item_id", "n")
+        asked.join(of_docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("shingle") == F.col("s")))
+        .groupBy("doc_id", "item", "n")
         .agg(F.count("*").alias("n_shared"))
     )
-    return shared.where(F.col("n_shared") >= F.lit(containment) * F.col("n") - 1e-9).select(
-        "doc_id",
-        "item_id",
-        "n_shared",
-        F.col("n").alias("n_shingles"),
-        (F.col("n_shared") / F.col("n")).alias("containment"),
-    )
+    return shared.where(F.col("n_shared") >= F.lit(containment) * F.col("n") - 1e-9)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    found = contained_items(docs, items, containment).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shingles, sketch, _ = item_sketches(items, containment)
+    pairs = durable(candidates(docs.select("doc_id", "text"), sketch))
+    found, _ = _few(durable(_verified(docs, shingles, pairs, containment).select(F.col("doc_id").alias("__found")).distinct()))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same rows in DuckDB SQL, by comparing all shingles.
