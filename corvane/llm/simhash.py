@@ -22,14 +22,18 @@ shares a key of one of these kinds, and none is missed:
   other: 3 pairs of segments, both roles.
 
 Buckets. Only distinct fingerprints have keys, so exact copies of a text cost one. A
-bucket of up to BUCKET members is compared in its task. A larger one is dealt out as
-pairs of blocks of BUCKET / 2 members, each compared in a task of its own, so no task
-holds more than a bucket. No pair leaves a task unless it was verified, and of these
-only as many as connect the members (a spanning forest): rows stay linear in members,
-components are exact, and no cap drops a member.
+bucket of up to BUCKET members is compared in its task. A larger one of the second kind,
+whose keys have fewer bits, is refined first: both segments have an error at least where
+no key of the first kind is shared, so the third has at most 2, and a near index of it
+joins the key. What is still larger is dealt out as pairs of blocks of BUCKET / 2 members,
+each compared in a task of its own, so no task holds more than a bucket. No pair leaves a
+task unless it was verified, and of these only as many as connect the members (a spanning
+forest): rows stay linear in members, components are exact, and no cap drops a member.
 
 Null, empty and blank texts have fingerprint zero, linked like any other. Repeated rows
 of an id have one result row each, with their own fingerprint; the id names the component.
+Documents without an id link others, but name no component: it is named by the smallest
+id in it, and null if there is none.
 An empty table gives an empty table. Only doc_id and text are read.
 """
 
@@ -41,12 +45,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corvane.llm.common import components, durable, id_and_text, rows_of, small_batches
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Most members of a bucket that are compared at once.
 BUCKET = 2048
+#: Rows of a fingerprint beyond which its rows are not shuffled to one task, and rows that may be broadcast.
+HOT, BROADCAST_ROWS = 10_000, 200_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -344,6 +351,33 @@ def _block_pairs(hot: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
 
 
+#: The first number of the kinds of keys (near index, base index), and their third segments.
+_MIXED, _THIRD = 6, np.array([2, 1, 0])
+
+
+def refined(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of large mixed buckets with longer keys: a row for each near index of the third segment."""
+    kind = (keys >> 36) - _MIXED
+    third = _THIRD[kind]
+    words = np.zeros(len(keys), np.int64)
+    for z, (at, size) in enumerate(SEGMENTS):
+        words = np.where(third == z, (fps >> np.uint64(at) & np.uint64((1 << size) - 1)).astype(np.int64), words)
+    six, lone = decoded(words)
+    held = np.ones((len(keys), 6), bool)
+    held[:, 1:] = ~lone[:, None]
+    at = np.repeat(np.arange(len(keys)), 6).reshape(-1, 6)[held]
+    longer = (kind[at] + _MIXED + 3) << 36 | (keys[at] & ((1 << 24) - 1)) << 12 | six[held]
+    return longer, fps[at], sides[at]
+
+
+def _refined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in rows_of(batch, 4096):
+            keys, fps, sides = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            keys, fps, sides = refined(keys, fps.view(np.uint64), sides)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64)), pa.array(sides)], ["key", "fp", "side"])
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all within BITS bits."""
 
@@ -356,10 +390,17 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
                     [pa.array(keys), pa.array(values[rows].view(np.int64)), pa.array(side)], ["key", "fp", "side"]
                 )
 
-    keyed = fps.select("fp").mapInArrow(run, _KEYS)
-    found = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, _LINKS))
-    plain = found.where("key IS NULL").select("a", "b")
-    hot = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"), F.col("hot").cast("byte").alias("side"))
+    def compared(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links of buckets, and the members of those that are too large."""
+        found = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, _LINKS))
+        hot = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"), F.col("hot").cast("byte").alias("side"))
+        return found.where("key IS NULL").select("a", "b"), hot
+
+    plain, hot = compared(fps.select("fp").mapInArrow(run, _KEYS))
+    mixed = hot.where(F.shiftright("key", 36) >= _MIXED)
+    if mixed.limit(1).count():
+        more, still = compared(mixed.mapInArrow(_refined_rows, _KEYS))
+        plain, hot = plain.union(more), hot.where(F.shiftright("key", 36) < _MIXED).union(still)
     if hot.limit(1).count():
         plain = plain.union(_block_pairs(hot))
     return plain
@@ -368,23 +409,70 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 # ---- the operator ------------------------------------------------------------------
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _joined(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with the columns of named, by fp; fingerprints that very many rows have are not shuffled, if they are few."""
+    hot = named.where(F.col("n") > HOT).drop("n")
+    if not 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(named.drop("n"), "fp")
+    rest = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti")
+    return rows.join(F.broadcast(hot), "fp").union(rest.join(named.where(F.col("n") <= HOT).drop("n"), "fp"))
+
+
+def grouped(each: DataFrame) -> DataFrame:
+    """(fp, component, component_id, n) of the distinct fingerprints of rows (doc_id, fp)."""
+    named = durable(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    reached = components(fingerprint_links(named))
+    linked = durable(named.join(reached.toDF("fp", "component"), "fp", "left"))
+    # only fingerprints with links need a name from elsewhere
+    least = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
+    return linked.join(_few(least), "component", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), "n"
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document."""
     each = durable(fingerprints(docs))
-    named = durable(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = fingerprint_links(named)
-    ends = links.join(named.select(F.col("fp").alias("a"), F.col("first").alias("fa")), "a")
-    ends = ends.join(named.select(F.col("fp").alias("b"), F.col("first").alias("fb")), "b")
-    reached = components(ends.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-    whole = named.join(reached, named["first"] == reached["node"], "left").select(
-        "fp", F.coalesce("component", "first").alias("component_id")
-    )
-    return each.join(whole, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    whole = _joined(each, durable(grouped(each).drop("component")))
+    return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id (and least text), with its columns."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each component, with its columns: that of the smallest id (a null id is the largest).
+
+    Of several rows with this id, the one with the least fingerprint, then the least text
+    (null as empty); if their texts are equal as well, any one of them.
+    """
+    each = durable(fingerprints(docs))
+    named = durable(grouped(each))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    kept = durable(_joined(each, named).groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = durable(each.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    if not again.limit(1).count():
+        return docs.join(kept, same, "left_semi").select(*columns)
+    again = _few(again)
+    repeated = F.col("doc_id").eqNullSafe(F.col("__again"))
+    plain = docs.join(again, repeated, "left_anti").join(kept, same, "left_semi").select(*columns)
+    # rows of one id are told apart by their fingerprints, which are computed again for these
+    place = docs.columns.index("text")
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch):
+                fps = np.fromiter((fingerprint(t) for t in part.column(place).to_pylist()), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], [*part.schema.names, "__own"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.join(again, repeated, "left_semi").select(*columns)
+    rows = rows.mapInArrow(printed, StructType([*docs.schema.fields, StructField("__own", LongType())]))
+    rows = rows.join(kept, same & (F.col("__own") == F.col("__fp")), "left_semi")
+    one = rows.groupBy(F.col("doc_id").alias("__id"), "__own").agg(
+        F.min_by(F.struct(*columns), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")
+    )
+    return plain.union(one.select(*[F.col(f"row.`{c}`") for c in docs.columns]))

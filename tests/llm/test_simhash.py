@@ -127,6 +127,55 @@ def test_large_buckets_give_the_same_components(spark, monkeypatch):
     assert df.count() == len(fps)
 
 
+def test_refined_keys_are_shared():
+    """One error in two segments and up to two in the third: the longer keys of either side meet."""
+    rng = np.random.default_rng(5)
+    for x, y, z in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
+        for third in (0, 1, 2):
+            for _ in range(60):
+                f = rng.integers(0, 1 << 63, dtype=np.uint64)
+                bits = [S.SEGMENTS[x][0] + int(rng.integers(S.SEGMENTS[x][1])), S.SEGMENTS[y][0] + int(rng.integers(S.SEGMENTS[y][1]))]
+                bits += [S.SEGMENTS[z][0] + int(b) for b in rng.choice(S.SEGMENTS[z][1], third, replace=False)]
+                g = f ^ np.uint64(sum(1 << b for b in bits))
+                k, r, s = S.keys_of(np.array([f, g]))
+                mixed = k >> 36 >= S._MIXED
+                long, fps, sides = S.refined(k[mixed], np.array([f, g])[r[mixed]], s[mixed])
+                a = {(i, j) for i, j, p in zip(long.tolist(), sides.tolist(), fps, strict=True) if p == f}
+                b = {(i, j) for i, j, p in zip(long.tolist(), sides.tolist(), fps, strict=True) if p == g}
+                assert any((i, 3 - j) in b for i, j in a)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_hot_fingerprints_and_null_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "HOT", 5)
+    monkeypatch.setattr(S, "BROADCAST_ROWS", few)
+    base = "one two three four five six seven eight nine ten"
+    rows = [(i, None) for i in range(5, 30)] + [(None, base), (40, base), (41, base + " x"), (None, "alone here and there"), (3, "q w e r t y"), (3, "q w e r t y"), (3, "other text of the id"), (50, "other text of the id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = S.near_duplicates(df).collect()
+    fps = [plain_fingerprint(t) for _, t in rows]
+    group = plain_components(dict(enumerate(fps)))
+    least: dict = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(i, least.get(group[k], i))
+    want = sorted((i or -1, f"{fps[k]:016x}", least.get(group[k]) or -1) for k, (i, _) in enumerate(rows))
+    assert sorted((r.doc_id or -1, r.fingerprint, r.component_id or -1) for r in found) == want
+    # one row of each group stays, that of the smallest id
+    kept = S.keep_first(df).collect()
+    assert len(kept) == len(set(group.values()))
+    order = {}
+    for k, (i, t) in enumerate(rows):
+        key = (i is None, i or 0, fps[k] - (1 << 64) if fps[k] >> 63 else fps[k], t or "")
+        order[group[k]] = min(key, order.get(group[k], key))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == sorted((a, b, t) for a, b, _, t in order.values())
+
+
+def test_exact_copies_of_one_id_leave_one(spark):
+    df = spark.createDataFrame([(1, "t u v w"), (1, "t u v w"), (2, "t u v w")], "doc_id long, text string")
+    assert [tuple(r) for r in S.keep_first(df).collect()] == [(1, "t u v w")]
+
+
 def test_operator_equals_brute_force(spark):
     rows = odd.rows(150)
     found = {r.doc_id: r for r in S.near_duplicates(odd.frame(spark, 150)).collect()}
