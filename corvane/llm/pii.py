@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 CONTEXT = 40
 #: Least score of a span that the method adds to the base spans.
 KEEP_SCORE = 0.6
-#: Blocks of the two-level running sums.
+#: Blocks of the two-level running sums and maxima.
 BLOCK = 64
+#: Code points of a piece of a text: what stands at a place is found in its piece, not from the text's start.
+PIECE = 2048
 
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = KINDS[:4]
@@ -72,26 +74,39 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sum(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
+def _total(numbers: Column, most: bool) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, x: F.greatest(s, x) if most else s + x)
 
 
-def with_running_sums(lengths: Column, body) -> Column:
-    """body(f), f(i) being the sum of the elements before i: by blocks, n * BLOCK steps and not n * n."""
+def with_running(numbers: Column, body, most: bool = False) -> Column:
+    """body(f), f(i) being the sum (or the largest) of the elements before i: by blocks, n * BLOCK steps and not n * n."""
 
     def blocked(own: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor(F.size(own) / BLOCK).cast("int"))
-        blocks = F.transform(numbers, lambda b: _sum(F.slice(own, b * BLOCK + 1, F.lit(BLOCK))))
-        return let(blocks, lambda bs: let(F.transform(bs, lambda _, b: _sum(F.slice(bs, F.lit(1), b))), lambda before: summed(own, before)))
+        places = F.sequence(F.lit(0), F.floor(F.size(own) / BLOCK).cast("int"))
+        blocks = F.transform(places, lambda b: _total(F.slice(own, b * BLOCK + 1, F.lit(BLOCK)), most))
+        return let(blocks, lambda bs: let(F.transform(bs, lambda _, b: _total(F.slice(bs, F.lit(1), b), most)), lambda before: summed(own, before)))
 
     def summed(own: Column, before: Column) -> Column:
         def at(i: Column) -> Column:
             block = F.floor(i / BLOCK).cast("int")
-            return F.get(before, block) + _sum(F.slice(own, block * BLOCK + 1, (i % BLOCK).cast("int")))
+            ahead, inside = F.get(before, block), _total(F.slice(own, block * BLOCK + 1, (i % BLOCK).cast("int")), most)
+            return F.greatest(ahead, inside) if most else ahead + inside
 
         return body(at)
 
-    return let(lengths, blocked)
+    return let(numbers, blocked)
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text in pieces, in time that its length bounds."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+    return F.substr(F.array_join(some, ""), start - first * PIECE + 1, end - start)
 
 
 def _confirmed(kind: str, match: Column) -> Column:
@@ -117,12 +132,12 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _whole_ibans(text: Column, heads: Column) -> Column:
+def _whole_ibans(pieces: Column, heads: Column) -> Column:
     """The spans of IBANs that begin with these matches of the pattern; without those that none begins with, or in one before."""
 
     def whole(x: Column) -> Column:
         # 34 characters, as many spaces, and the character behind
-        run = F.regexp_extract(F.substr(text, x["start"] + 1, F.lit(69)), "^[A-Z]{2}[0-9]{2}" + _IBAN_REST, 0)
+        run = F.regexp_extract(part(pieces, x["start"], x["start"] + 69), "^[A-Z]{2}[0-9]{2}" + _IBAN_REST, 0)
         ends = lambda words: F.transform(
             F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
         )
@@ -159,28 +174,29 @@ def spans(text: Column, kind: str) -> Column:
 
             return F.transform(x["matches"], one)
 
-        return with_running_sums(steps, placed)
-
-    placed = let(split, place)
-    good = _whole_ibans(text, placed) if kind == "iban" else F.filter(placed, lambda x: _confirmed(kind, x["m"]))
-    near = lambda x: F.substr(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-    scored = F.transform(
-        good,
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["kind"].alias("kind"),
-            x["end"].alias("end"),
-            F.least(
-                F.lit(WORTH[kind] + CHECKED.get(kind, 0.0))
-                + F.when(F.rlike(near(x), F.lit(rf"(?i)\b(?:{CONTEXT_WORDS[kind]})\b")), CONTEXT_ADDS).otherwise(0.0),
-                F.lit(1.0),
-            ).alias("score"),
-        ),
-    )
-    if kind not in BASE:
-        scored = F.filter(scored, lambda x: x["score"] >= KEEP_SCORE)
+        return with_running(steps, placed)
+
+    def scored(pieces: Column) -> Column:
+        placed = let(split, place)
+        good = _whole_ibans(pieces, placed) if kind == "iban" else F.filter(placed, lambda x: _confirmed(kind, x["m"]))
+        near = lambda x: part(pieces, F.greatest(x["start"] - CONTEXT, F.lit(0)), x["start"])
+        found = F.transform(
+            good,
+            lambda x: F.struct(
+                x["start"].alias("start"),
+                x["kind"].alias("kind"),
+                x["end"].alias("end"),
+                F.least(
+                    F.lit(WORTH[kind] + CHECKED.get(kind, 0.0))
+                    + F.when(F.rlike(near(x), F.lit(rf"(?i)\b(?:{CONTEXT_WORDS[kind]})\b")), CONTEXT_ADDS).otherwise(0.0),
+                    F.lit(1.0),
+                ).alias("score"),
+            ),
+        )
+        return found if kind in BASE else F.filter(found, lambda x: x["score"] >= KEEP_SCORE)
+
     has = F.rlike(text, pattern) if kind not in NEEDS else F.contains(text, F.lit(NEEDS[kind])) & F.rlike(text, pattern)
-    return F.when(has, scored).otherwise(F.array().cast(_NONE))
+    return F.when(has, let(pieces_of(text), scored)).otherwise(F.array().cast(_NONE))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -230,16 +246,19 @@ def redact(docs: DataFrame) -> DataFrame:
     own = docs.withColumn("__text", text).withColumn(
         "__found", F.array_sort(F.concat(*[spans(F.col("__text"), k) for k in KINDS]))
     )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).when(
-        x["start"] < s["at"], F.struct(s["out"].alias("out"), x["end"].alias("at"))
-    ).otherwise(
-        F.struct(
-            F.concat(s["out"], F.substr(F.col("__text"), s["at"] + 1, x["start"] - s["at"]), F.get(names, x["kind"])).alias("out"),
-            x["end"].alias("at"),
-        )
-    )
-    done = F.aggregate("__found", start, step, lambda s: F.concat(s["out"], F.substr(F.col("__text"), s["at"] + 1)))
+    found, length = F.col("__found"), F.length("__text")
+
+    def written(pieces: Column) -> Column:
+        def joined(before) -> Column:
+            """before(i): where the spans before i end; a span that starts there or later begins a group."""
+            each = F.transform(found, lambda x, i: F.struct(before(i).alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
+            groups = F.filter(each, lambda y: y["start"] >= y["at"])
+            kept = F.transform(groups, lambda y: F.concat(part(pieces, y["at"], y["start"]), F.get(names, y["kind"])))
+            return F.concat(F.array_join(kept, ""), part(pieces, before(F.size(found)), length))
+
+        return with_running(F.transform(found, lambda x: x["end"]), joined, most=True)
+
+    done = let(pieces_of(F.col("__text")), written)
     own = own.withColumn("text", F.when(F.size("__found") > 0, done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         own = own.withColumn("n_chars", F.when(F.size("__found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

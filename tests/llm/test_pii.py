@@ -93,6 +93,40 @@ def test_redaction_keeps_rows_and_columns(spark):
     )
 
 
+def plainly_redacted(text: str, spans: str) -> str:
+    """The spans' places replaced one by one, from the last group on."""
+    groups: list[list] = []
+    for kind, start, end in sorted(((k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x)), key=lambda x: (x[1], P.KINDS.index(x[0]))):
+        if groups and start < groups[-1][2]:
+            groups[-1][2] = max(groups[-1][2], end)
+        else:
+            groups.append([kind, start, end])
+    for kind, start, end in reversed(groups):
+        text = f"{text[:start]}[{kind.upper()}]{text[end:]}"
+    return text
+
+
+def test_redaction_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["", *[case(rng) for _ in range(200)], "é" * 3000 + " a@b.c" + "漢" * 5000 + " 4111 1111 1111 1111 +44 20 7946 0000", "9" * 9000, "1.2.3.4, a@b.c " * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.spans for r in P.pii_report(df).collect()}
+    for r in P.redact(df).collect():
+        assert r.text == plainly_redacted(texts[r.doc_id], found[r.doc_id])
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    times = []
+    for n in (4_000, 32_000):
+        df = spark.createDataFrame([(1, "é some words call a@b.co now " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert P.redact(df).first().text == "é some words call [EMAIL] now " * n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 30 * max(times[0], 0.5), times
+
+
 def test_odd_documents(spark):
     assert P.pii_report(odd.frame(spark)).count() == 120
     assert P.pii_report(odd.empty(spark)).count() == 0
