@@ -1,22 +1,27 @@
 r"""Toxicity: a classifier chain of linear models over words.
 
-Categories are predicted in a fixed order. The model of each category is a logistic
-regression over the words of a text and their beginnings (present or not), three rates
+Categories are those that the caller names; they are predicted in the order of their
+positive labels, the rarest first, so that a general category sees the probabilities of
+its kinds. The model of each category is a logistic regression over the words of a text and their beginnings (present or not), three rates
 of its characters and the probabilities of all earlier categories. To train it on
 probabilities like those it will see, earlier ones are predicted out of fold: the sample
 is dealt into FOLDS by a hash of the id, and a fold's probabilities come from a model
 fitted on the others. The models that predict are then fitted on the whole sample.
 
-Bounds: the sample has about SAMPLE labelled documents at most (chosen by hashed id); the
-vocabulary has at most VOCABULARY words, those that tell the categories
-apart best by their log-likelihood ratio in the sample. Every document is scored on its
-whole text. The threshold of a category is the out-of-fold probability with the best
+A label may be null: a row takes part in training and thresholds of those categories that
+it has labels for. Rows of an id in the labels count as one, its largest label of each.
+
+Bounds: the sample has about SAMPLE labelled documents at most (ids chosen by a hash, and
+of their distinct rows as many again, so that an id with many rows can't fill it); the
+vocabulary has at most VOCABULARY words, those that tell the categories apart best by
+their log-likelihood ratio in the sample. Every document is scored on its whole text. The threshold of a category is the out-of-fold probability with the best
 balanced accuracy among those that at most MAY_ACCUSE of the sample's rows without the
 category exceed.
 
 Null, empty and blank texts have no words; they are scored by the intercepts like any
-other, and never flagged. Repeated rows have repeated results. Without labelled rows of
-both kinds a category has probability 0. Only doc_id and text of the documents are read.
+other, and never flagged. Repeated rows, and rows of one id or none, have a result each.
+Without a labelled row of either kind a category has the probability of the kind there is,
+0 without any label. Only doc_id and text of the documents are read.
 """
 
 from __future__ import annotations
@@ -31,9 +36,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import durable, hashed_sample, rows_of, small_batches
 
-SAMPLE, VOCABULARY = 8000, 1024
-#: Least log-likelihood ratio of a word of the vocabulary: by chance, some words of 20,000 have as much.
-LEAST_RATIO = 20.0
+SAMPLE, VOCABULARY = 8000, 16_384
+#: Least log-likelihood ratio of a word of the vocabulary: by chance, one word of ten thousand has as much.
+LEAST_RATIO = 15.0
 FOLDS, STEPS, RATE, DECAY = 5, 120, 0.1, 3e-4
 MAY_ACCUSE = 0.001
 #: Lengths of the word beginnings that are features beside the words.
@@ -130,18 +135,22 @@ def threshold(p: np.ndarray, gold: np.ndarray) -> float:
 
 
 class Chain:
-    """Models of the categories in order; each sees the probabilities of those before it."""
+    """Models of the categories in order; each sees the probabilities of those before it.
+
+    gold: a column of 0, 1 or -1 (no label) for each category.
+    """
 
     def __init__(self, rows: Rows, gold: dict[str, np.ndarray], folds: np.ndarray, words: int):
         self.names, self.models, self.limits = list(gold), [], []
         for name in self.names:
-            self.models.append(Linear(rows, gold[name], words))
+            labelled = np.flatnonzero(gold[name] >= 0)
+            self.models.append(Linear(rows.take(labelled), gold[name][labelled], words))
             outside = np.zeros(rows.n)
             for k in range(FOLDS):
-                other, own = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
+                other, own = labelled[folds[labelled] != k], np.flatnonzero(folds == k)
                 if len(own) and len(other):
                     outside[own] = Linear(rows.take(other), gold[name][other], words).predict(rows.take(own))
-            self.limits.append(threshold(outside, gold[name]))
+            self.limits.append(threshold(outside[labelled], gold[name][labelled]))
             rows = rows.beside(outside)
 
     def predict(self, rows: Rows) -> np.ndarray:
@@ -154,25 +163,28 @@ class Chain:
 
 
 def vocabulary(texts: DataFrame, categories: list[str]) -> list[str]:
-    """Words of the sample that tell a category apart: (doc_id, words, categories) to at most VOCABULARY words."""
-    totals = texts.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    n = totals["n"]
-    counted = texts.select(F.explode("words").alias("word"), *categories).groupBy("word")
-    counted = counted.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories])
+    """Words of the sample that tell a category apart, of its labelled rows: (words, categories) to at most VOCABULARY words."""
+    of_words = texts.select(F.explode("words").alias("word"), *categories).groupBy("word")
+    sums = [x for c in categories for x in (F.sum(c).alias(f"y_{c}"), F.count(c).alias(f"n_{c}"))]
+    totals, counted = texts.agg(*sums).first(), of_words.agg(*sums)
     # log-likelihood ratio of each word against each category: 2 * sum of seen * ln(seen / expected)
-    worth = []
+    worth = [F.lit(0.0), F.lit(0.0)]
     for c in categories:
-        yes = float(totals[c] or 0)
-        cells = [(F.col(c), yes * F.col("n") / n), (F.col("n") - F.col(c), (n - yes) * F.col("n") / n)]
-        cells += [(F.lit(yes) - F.col(c), yes * (n - F.col("n")) / n), (F.lit(n - yes) - F.col("n") + F.col(c), (n - yes) * (n - F.col("n")) / n)]
+        yes, n = float(totals[f"y_{c}"] or 0), float(totals[f"n_{c}"])
+        if not n:
+            continue
+        has, seen = F.coalesce(F.col(f"y_{c}"), F.lit(0)), F.col(f"n_{c}")
+        cells = [(has, yes * seen / n), (seen - has, (n - yes) * seen / n)]
+        cells += [(F.lit(yes) - has, yes * (n - seen) / n), (F.lit(n - yes) - seen + has, (n - yes) * (n - seen) / n)]
         worth.append(2 * sum(F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells))
-    best = counted.withColumn("worth", F.greatest(*worth) if len(worth) > 1 else worth[0]).where(F.col("worth") >= LEAST_RATIO)
+    best = counted.withColumn("worth", F.greatest(*worth)).where(F.col("worth") >= LEAST_RATIO)
     return [r["word"] for r in best.orderBy(F.desc("worth"), "word").limit(VOCABULARY).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> tuple[Chain | None, dict[str, int]]:
-    """The chain and its vocabulary; labels: doc_id and a column of 0 or 1 for each category."""
-    held = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
+    """The chain and its vocabulary; labels: doc_id and a column of 0, 1 or null for each category."""
+    held = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories])
+    held = held.where(F.col("doc_id").isNotNull()).dropna("all", subset=categories)
     held = held.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     # about SAMPLE rows at most, of an id and a few numbers each: a bounded broadcast
     chosen = F.broadcast(hashed_sample(held, SAMPLE))
@@ -184,36 +196,35 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> tuple[Chai
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         *[part.column(c) for c in categories],
                         pa.array([sorted(distinct_words(t)) for t in texts], pa.list_(pa.string())),
                         pa.array([list(rates(t)) for t in texts], pa.list_(pa.float64())),
                     ],
-                    ["doc_id", *categories, "words", "rates"],
+                    ["doc_id", "key", *categories, "words", "rates"],
                 )
 
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.where(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", *categories)
+    own = hashed_sample(own.where(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", *categories), SAMPLE)
     kinds = ", ".join(f"{c} int" for c in categories)
-    sample = durable(own.mapInArrow(run, f"doc_id long, {kinds}, words array<string>, rates array<double>"))
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("key"), *categories)
+    sample = durable(own.mapInArrow(run, f"doc_id long, key long, {kinds}, words array<string>, rates array<double>"))
     words = vocabulary(sample, categories)
     index = {w: i for i, w in enumerate(words)}
     if not words:
         return None, index
     # only the vocabulary's words of a text come to the driver
-    listed = F.array_intersect("words", F.array(*[F.lit(w) for w in words])) if len(words) <= 64 else None
-    if listed is None:
-        keep = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"))
-        lists = (
-            sample.select("doc_id", F.explode("words").alias("word")).join(keep, "word").groupBy("doc_id").agg(F.collect_set("word").alias("w"))
-        )
-        sample = sample.dropDuplicates(["doc_id"]).join(lists, "doc_id", "left")
-        listed = F.coalesce(F.col("w"), F.array().cast("array<string>"))
-    rows = sample.select("doc_id", *categories, listed.alias("w"), "rates", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).alias("fold")).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], sorted(r["w"])))
-    made = Rows([[index[w] for w in r["w"]] for r in rows], np.array([r["rates"] for r in rows]))
-    gold = {c: np.array([r[c] for r in rows]) for c in categories}
-    return Chain(made, gold, np.array([r["fold"] for r in rows]), len(words)), index
+    keep = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"))
+    lists = sample.select("doc_id", "key", F.explode("words").alias("word")).join(keep, "word").groupBy("doc_id", "key").agg(F.collect_set("word").alias("w"))
+    listed = F.coalesce(F.col("w"), F.array().cast("array<string>")).alias("w")
+    fold = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).alias("fold")
+    rows = sample.join(lists, ["doc_id", "key"], "left").select("doc_id", "key", *categories, listed, "rates", fold).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["key"]))
+    made = Rows([sorted(index[w] for w in r["w"]) for r in rows], np.array([r["rates"] for r in rows]))
+    gold = {c: np.array([-1 if r[c] is None else r[c] for r in rows]) for c in categories}
+    order = sorted(categories, key=lambda c: (int((gold[c] == 1).sum()), categories.index(c)))
+    return Chain(made, {c: gold[c] for c in order}, np.array([r["fold"] for r in rows]), len(words)), index
 
 
 def score(docs: DataFrame, chain: Chain | None, index: dict[str, int], categories: list[str]) -> DataFrame:
@@ -232,7 +243,7 @@ def score(docs: DataFrame, chain: Chain | None, index: dict[str, int], categorie
                 p = chain.predict(made)
                 some = np.array([bool(ws) for ws in own])
                 columns = [part.column(0)]
-                for k in range(len(categories)):
+                for k in map(chain.names.index, categories):
                     columns += [pa.array(p[:, k].copy()), pa.array((p[:, k] > chain.limits[k]) & some)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[x for c in categories for x in (f"p_{c}", f"is_{c}")]])
 
@@ -247,13 +258,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataF
 
 
 def toxicity_labels(labels: DataFrame) -> DataFrame:
-    """Categories of the labels table, in the chain's order: low_quality, toxic, toxic_junk (both)."""
+    """The categories that the labels table allows: toxic, and its kinds by the text that carries it.
+
+    The table has one toxic column, no insults, threats or the like; beside it, quality tells
+    toxic prose from toxic junk. Both kinds are 0 where toxic is 0, null where quality is null.
+    """
+    toxic, quality = F.col("toxic").cast("int"), F.col("quality").cast("int")
     return labels.select(
         "doc_id",
-        (1 - F.col("quality")).alias("low_quality"),
-        F.col("toxic").alias("toxic"),
-        ((1 - F.col("quality")) * F.col("toxic")).alias("toxic_junk"),
+        toxic.alias("toxic"),
+        F.when(toxic == 0, 0).otherwise(toxic * quality).alias("toxic_prose"),
+        F.when(toxic == 0, 0).otherwise(toxic * (1 - quality)).alias("toxic_junk"),
     )
 
 
-CATEGORIES = ["low_quality", "toxic", "toxic_junk"]
+CATEGORIES = ["toxic", "toxic_prose", "toxic_junk"]
