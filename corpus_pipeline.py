@@ -12,7 +12,6 @@ operators in corvane.llm.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from corvane.llm import langid as _langid
 from corvane.llm import packing as _packing
 from corvane.llm import pii as _pii
 from corvane.llm import simhash as _simhash
-from corvane.llm.common import shared_dir, table
+from corvane.llm.common import made_so_far, new_folder, table, tidy
 from corvane.llm.registry import tokenizer_path
 
 
@@ -61,10 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents of a folder; what only earlier stages needed is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), made_so_far()
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        out = stage(spark, docs, sf_dir)
+        folder = new_folder(spark, f"corpus-pipeline-{name}")
+        out.write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        # this stage's own tables and the stage before it are not read any more
+        tidy(spark, before, keep=folder)
     return docs
