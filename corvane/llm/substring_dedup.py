@@ -21,7 +21,8 @@ first, and only what may repeat is sorted:
    meet again by step 2. As a part grows to a whole window in at most seven rounds, this
    ends, and no anchor that is left has more than SPANS spans.
 4. Suffix arrays. The first records of the other classes (spans that share the anchor,
-   but not all around it) get their bytes again, meet by a, and are concatenated, with
+   but not all around it) get their bytes again and meet by a. A half of a span (as in step
+   3) that shares its longer part with no other is left out; the rest is concatenated, with
    separators, to texts of bounded size. The two-stage construction sorts their suffixes:
    only suffixes smaller than their successor are sorted directly, to a depth of WINDOW
    bytes; all others are induced by scanning the buckets of first bytes in order. Common
@@ -340,17 +341,55 @@ def repeated_windows(spans: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, n
     return docs[~first], starts[~first]
 
 
+def may_repeat(anchors: list[int], spans: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """The halves of these spans whose windows may have equals among the others.
+
+    A half is told by the hash of the anchor and the 34 bytes to its left, or the 35 to its right,
+    that all its windows hold. Spans without a GRAM-byte anchor (refined ones) stay whole.
+    """
+    left = (WINDOW - GRAM) // 2
+    lengths = np.fromiter((len(b) for _, _, b in spans), np.int64, len(spans))
+    data = np.frombuffer(b"".join(b for _, _, b in spans), np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    with np.errstate(over="ignore"):
+        h = gram_hashes(data)
+        owner = np.repeat(np.arange(len(spans)), lengths)[: len(h)]
+        at = np.flatnonzero(h.view(np.int64) == np.array(anchors, np.int64)[owner])
+        place = at - starts[owner[at]]
+        at = at[(place >= lengths[owner[at]] - WINDOW) & (place <= WINDOW - GRAM)]
+        found, first = np.unique(owner[at], return_index=True)
+        at = at[first]
+        place, last = at - starts[found], lengths[found] - WINDOW
+        out = [spans[i] for i in np.setdiff1d(np.arange(len(spans)), found)]
+        # windows that start `left` or more before the anchor, and the others; each part by the grams that cover it
+        begin = np.maximum(0, place - left + 1)
+        halves_of = (
+            (place >= left, (-left, GRAM - left, 0), np.zeros_like(place), np.minimum(place - left, last) + WINDOW),
+            (begin <= last, (0, GRAM, WINDOW - GRAM - left + 1), begin, lengths[found]),
+        )
+        for there, steps, low, end in halves_of:
+            i = np.flatnonzero(there)
+            key = _mixed(h[at[i] + steps[0]] * np.uint64(0x9E3779B97F4A7C15) + h[at[i] + steps[1]])
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[at[i] + steps[2]])
+            _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+            for k in i[times[number] > 1].tolist():
+                doc, at_doc, own = spans[found[k]]
+                out.append((doc, at_doc + int(low[k]), own[low[k] : end[k]]))
+    return out
+
+
 _FOUND = "doc_id long, span long"
 
 
 def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The covered intervals of spans that come sorted by a; whole anchors share a suffix array."""
     held: list[tuple[int, int, bytes]] = []
+    anchors: list[int] = []
     size, last = 0, None
 
     def found() -> Iterator[pa.RecordBatch]:
-        if held:
-            docs, starts = repeated_windows(held)
+        if held and (tried := may_repeat(anchors, held)):
+            docs, starts = repeated_windows(tried)
             docs, span = _merged(docs, starts << 32 | starts + WINDOW)
             if len(docs):
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(span)], ["doc_id", "span"])
@@ -359,9 +398,10 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, doc, low, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if a != last and size >= SORTED:
                 yield from found()
-                held, size = [], 0
+                held, anchors, size = [], [], 0
             last = a
             held.append((doc, low, data))
+            anchors.append(a)
             size += len(data)
     yield from found()
 

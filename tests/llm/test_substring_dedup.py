@@ -97,6 +97,30 @@ def test_repeated_windows_equal_brute_force():
     assert set(zip(docs.tolist(), starts.tolist(), strict=True)) == want
 
 
+def test_what_may_repeat_has_all_that_does():
+    rng = random.Random(11)
+    part = bytes(rng.choice(b"abc") for _ in range(140))
+    texts = [bytes(rng.choice(b"xyz") for _ in range(80)) + part[rng.randint(0, 70) :][: rng.randint(40, 140)] + bytes(rng.choice(b"xyz") for _ in range(80)) for _ in range(60)]
+    spans, anchors = [], []
+    for d, t in enumerate(texts):
+        data = np.frombuffer(t, np.uint8)
+        _, low, end, a, _ = S.records(data, np.array([0]), np.array([len(t)]))
+        for i in range(len(low)):
+            spans.append((d, int(low[i]), t[low[i] : end[i]]))
+            anchors.append(int(a.view(np.int64)[i]))
+    spans.append((99, 0, spans[0][2]))  # an anchor that is no gram: stays whole
+    anchors.append(5)
+    tried = S.may_repeat(anchors, spans)
+    assert (99, 0, spans[0][2]) in tried and sum(len(b) for _, _, b in tried) < sum(len(b) for _, _, b in spans)
+    windows = lambda some: sorted((d, s + i, b[i : i + 100]) for d, s, b in some for i in range(len(b) - 99))
+    every, kept = windows(spans[:-1]), windows([t for t in tried if t[0] != 99])
+    times: dict = {}
+    for _, _, w in every:
+        times[w] = times.get(w, 0) + 1
+    assert {x for x in every if times[x[2]] > 1} <= set(kept) <= set(every)
+    assert len(kept) == len(set(kept))
+
+
 def test_halves_share_keys_of_equal_windows():
     """Each window is in one half; equal windows of two documents have the same keys down to whole windows."""
     rng = random.Random(7)
