@@ -34,8 +34,11 @@ def straight_quotes(text: Column) -> Column:
 
 def english_words(text: Column) -> Column:
     """Words of a-z and apostrophes, edge apostrophes stripped, empty ones dropped before they get a position."""
-    raw = F.regexp_extract_all(F.lower(straight_quotes(F.coalesce(text, F.lit("")))), F.lit("([a-z']+)"), F.lit(1))
-    return F.filter(F.transform(raw, lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
+    plain = F.lower(straight_quotes(F.coalesce(text, F.lit(""))))
+    raw = F.regexp_extract_all(plain, F.lit("[a-z']+"), F.lit(0))
+    bare = F.filter(F.transform(raw, lambda w: F.btrim(w, F.lit("'"))), lambda w: w != "")
+    # most texts have no apostrophe, and nothing to strip
+    return F.when(F.contains(plain, F.lit("'")), bare).otherwise(raw)
 
 
 def spaced_words(text: Column) -> Column:

@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import english_words
+from corvane.operators.tokens import TOK, neighbour
 from corvane.plans.registry import query
 from corvane.sources.tables import table
 
@@ -23,7 +24,7 @@ GAP, FLOOR, BAND = 0.35, 0.3, 6
 
 
 def monotonic_alignment(scores: np.ndarray) -> tuple[list[int], list[float]]:
-    """For each row a column, never decreasing, with the largest sum; and the best score less the second best.
+    """For each row a column, never decreasing, with the largest sum; and the row's best score less its second best.
 
     The best of columns up to j is a running maximum, so it takes rows * columns steps.
     """
@@ -42,11 +43,9 @@ def monotonic_alignment(scores: np.ndarray) -> tuple[list[int], list[float]]:
     for i in range(rows - 1, 0, -1):
         path.append(int(back[i][path[-1]]))
     path.reverse()
-    margins = []
-    for i, j in enumerate(path):
-        others = np.delete(scores[i], j)
-        margins.append(float(scores[i][j] - others.max()) if len(others) else float(scores[i][j]))
-    return path, margins
+    # of the row, whichever column was chosen
+    best = -np.sort(-scores, axis=1)
+    return path, [float(r[0] - (r[1] if columns > 1 else 0.0)) for r in best]
 
 
 def banded_alignment(left: list, right: list, similar: Callable, gap: float = GAP, floor: float = FLOOR, band: int = BAND) -> list[tuple[int | None, int | None]]:
@@ -324,29 +323,48 @@ def _chosen(fits, ordered, sides, same, taken=()):
 # ---- as grouped operators ----------------------------------------------------------
 
 
-@query("q10_three_word_windows")
+@query(
+    "q10_three_word_windows",
+    f"""WITH {TOK}, h AS (SELECT doc_id, pos, word FROM tok WHERE word IN ('the', 'was', 'with')),
+    l AS (SELECT a.doc_id, a.pos anchor, h.pos low FROM h a JOIN h ON h.doc_id = a.doc_id AND h.pos BETWEEN a.pos - 12 AND a.pos
+      WHERE a.word = 'the' AND (h.word <> 'the' OR h.pos = a.pos)),
+    c AS (SELECT l.doc_id, anchor, low, min(b.pos) b, min(c.pos) c FROM l JOIN h b ON b.doc_id = l.doc_id AND b.word = 'was' AND b.pos BETWEEN low AND low + 12
+      JOIN h c ON c.doc_id = l.doc_id AND c.word = 'with' AND c.pos BETWEEN low AND low + 12 GROUP BY 1, 2, 3)
+    SELECT doc_id, anchor, least(anchor, b, c) first, greatest(anchor, b, c) last FROM c
+    QUALIFY row_number() OVER (PARTITION BY doc_id, anchor ORDER BY low) = 1""",
+)
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three words within twelve words of each other, in any order, in one document."""
-    wanted = ["the", "was", "with"]
-    docs = table(spark, sf_dir, "documents").select("doc_id", english_words(F.col("text")).alias("w"))
-    arrays = [_places("w", t) for t in wanted]
-    hits = docs.select("doc_id", F.size("w").alias("n"), *[a.alias(f"s{k}") for k, a in enumerate(arrays)])
-    hits = hits.where(" AND ".join(f"size(s{k}) > 0" for k in range(len(wanted))))
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                slots = [[(int(p), 1) for p in getattr(r, f"s{k}")] for k in range(len(wanted))]
-                for window in proximity_windows(slots, 12, [(0, int(r.n))]):
-                    rows.append((r.doc_id, window[0][0], min(s for s, _ in window), max(s for s, _ in window)))
-            yield pd.DataFrame(rows, columns=["doc_id", "anchor", "first", "last"])
+    """Three words within twelve words of each other, in any order, in one document.
 
-    return hits.mapInPandas(run, "doc_id long, anchor long, first long, last long")
-
-
-def _places(column: str, word: str):
-    indexed = F.transform(column, lambda x, i: F.when(x == word, i))
+    Inside the row of a document: each anchor looks at the words beside it only. Windows are tried
+    from their least start upwards, as in proximity_windows.
+    """
+    window = 12
+    docs = table(spark, sf_dir, "documents").select("doc_id", english_words(F.col("text")).alias("w"))
+    docs = docs.where(F.array_contains("w", "the") & F.array_contains("w", "was") & F.array_contains("w", "with"))
+
+    def beside(anchor: Column) -> Column:
+        base = F.greatest(anchor - window, F.lit(0))
+        near = F.slice("w", base + 1, F.lit(2 * window + 1))
+        spots = lambda t: F.transform(_places(near, t), lambda p: p + base)
+        return F.struct(anchor.alias("anchor"), spots("was").alias("b"), spots("with").alias("c"))
+
+    def chosen(x: Column) -> Column:
+        lows = F.array_sort(F.filter(F.concat(F.array(x["anchor"]), x["b"], x["c"]), lambda p: p <= x["anchor"]))
+        first = lambda spots, low: F.get(F.filter(spots, lambda p: (p >= low) & (p <= low + window)), F.lit(0))
+        tried = F.transform(lows, lambda low: F.struct(first(x["b"], low).alias("b"), first(x["c"], low).alias("c")))
+        good = F.get(F.filter(tried, lambda t: t["b"].isNotNull() & t["c"].isNotNull()), F.lit(0))
+        return F.struct(x["anchor"].alias("anchor"), good.alias("g"))
+
+    anchors = docs.select("doc_id", F.explode(F.transform(_places(F.col("w"), "the"), beside)).alias("x"))
+    found = anchors.where((F.size("x.b") > 0) & (F.size("x.c") > 0)).select("doc_id", chosen(F.col("x")).alias("y")).where("y.g IS NOT NULL")
+    spots = [F.col("y.anchor").cast("long"), F.col("y.g.b").cast("long"), F.col("y.g.c").cast("long")]
+    return found.select("doc_id", spots[0].alias("anchor"), F.least(*spots).alias("first"), F.greatest(*spots).alias("last"))
+
+
+def _places(words: Column, word: str) -> Column:
+    """The places of a word in an array of words."""
+    indexed = F.transform(words, lambda x, i: F.when(x == word, i))
     return F.filter(indexed, lambda p: p.isNotNull())
 
 
@@ -388,12 +406,11 @@ def aln08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null text is an empty one.
     """
-    from pyspark.sql import Window
-
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split(text, "\n").alias("a"))
-    nxt = F.lead("a").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = docs.withColumn("b", nxt).where("b IS NOT NULL")
+    # the next document is found on ids alone; texts then join by id
+    nxt = neighbour(docs.select("source", "doc_id"), ["source"], "doc_id", "next", behind=True).where("next IS NOT NULL")
+    pairs = nxt.join(docs.select("doc_id", "a"), "doc_id").join(docs.select(F.col("doc_id").alias("next"), F.col("a").alias("b")), "next")
 
     def similar(p: set, q: set) -> float:
         both = len(p & q)

@@ -13,33 +13,43 @@ from corvane.sources.tables import table
 INSTANCES = 20
 
 
-def distinctiveness_label(before: Column, contemporary: Column, here: Column) -> Column:
-    """none / coined / rare, from counts before, beside and in the corpus."""
+# The authors, as a lexicon abbreviates them, whose words are not later than the corpus.
+EARLIER_AUTHORS = """Hom. Il. Od. Hes. h.Hom. Thgn. Sol. Tyrt. Mimn. Archil. Alc. Sapph. Alcm. Stesich. Ibyc. Anacr. Simon. Pi. B.
+A. S. E. Ar. Cratin. Eup. Pherecr. Alex. Antiph. Anaxandr. Eub. Philem.
+Hdt. Th. X. Pl. Hp. Isoc. D. Lys. Aeschin. And. Antipho Is. Lycurg. Hyp. Din. Gorg.
+Emp. Parm. Heraclit. Democr. Anaxag. Xenoph. Pythag. Hecat. Hellanic. Pherecyd.""".split()
+#: Beginning of the abbreviations of the corpus' own author.
+OWN_AUTHOR = "Arist"
+
+
+def distinctiveness_label(before: Column, contemporary: Column, here: Column, key: Column) -> Column:
+    """coined / rare / none, from counts before, beside and in the corpus; none for names (keys with a capital's asterisk)."""
     return (
-        F.when((before == 0) & (contemporary == 0) & (here >= 3), "coined")
-        .when((before + contemporary <= 4) & (before > 0) & (here >= 10), "rare")
+        F.when(key.startswith("*"), "none")
+        .when((before == 0) & (contemporary == 0) & (here >= 3), "coined")
+        .when((before > 0) & (before < 5), "rare")
         .otherwise("none")
     )
 
 
-@query(
-    "agg08_surface_to_lemmas",
-    f"""WITH {TOK}, p AS (SELECT DISTINCT word, substr(word, 1, 4) lemma FROM tok WHERE length(word) >= 6
-      UNION SELECT DISTINCT word, substr(word, 1, 3) FROM tok WHERE length(word) >= 6)
-    SELECT word, array_to_string(list_sort(list(lemma)), ' ') lemmas FROM p WHERE word LIKE 'the%' GROUP BY word""",
-)
-def agg08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each surface form that starts with "the", with the sorted set of its lemmas."""
-    return agg08_whole(spark, sf_dir).where(F.col("word").startswith("the"))
+def lexicon_verdict(authors: Column) -> Column:
+    """What a lexicon entry's authors say of a coinage: earlier-attested, corroborated by later ones, or only the corpus' own."""
+    others = F.filter(authors, lambda a: ~a.startswith(OWN_AUTHOR))
+    earlier = F.array(*[F.lit(a) for a in EARLIER_AUTHORS])
+    return (
+        F.when(F.size(others) == 0, "own-only")
+        .when(F.exists(others, lambda a: F.array_contains(earlier, a)), "earlier-attested")
+        .otherwise("corroborated")
+    )
 
 
 @query(
-    "agg08_surface_to_lemmas_whole",
+    "agg08_surface_to_lemmas",
     f"""WITH {TOK}, p AS (SELECT DISTINCT word, substr(word, 1, 4) lemma FROM tok WHERE length(word) >= 6
       UNION SELECT DISTINCT word, substr(word, 1, 3) FROM tok WHERE length(word) >= 6)
     SELECT word, array_to_string(list_sort(list(lemma)), ' ') lemmas FROM p GROUP BY word""",
 )
-def agg08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each surface form with the sorted set of its lemmas."""
     toks = tokens(table(spark, sf_dir, "documents")).where(F.length("word") >= 6)
     pairs = toks.select("word").distinct().select("word", F.explode(F.array(F.substring("word", 1, 4), F.substring("word", 1, 3))).alias("lemma"))
@@ -76,14 +86,18 @@ def agg11_by_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "prj02_first_instances",
     f"""WITH {OFF} SELECT word, source, doc_id, pos, n > {INSTANCES} truncated FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, pos) r,
-    count(*) OVER (PARTITION BY word) n FROM off WHERE word LIKE 'tha%') WHERE r <= {INSTANCES}""",
+    count(*) OVER (PARTITION BY word) n FROM off) WHERE r <= {INSTANCES}""",
 )
 def prj02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first instances of each word (a report with a limit), and whether there are more."""
-    toks = offset_tokens(table(spark, sf_dir, "documents")).where(F.col("word").startswith("tha"))
+    toks = tokens(table(spark, sf_dir, "documents"))
+    # the first of a word in each bucket of documents, with their number, before a word's rows meet
+    share = Window.partitionBy("word", F.pmod("doc_id", F.lit(64)))
+    found = toks.withColumn("r", F.row_number().over(share.orderBy("doc_id", "pos"))).withColumn("c", F.count("*").over(share))
+    some = found.where(F.col("r") <= INSTANCES)
     w = Window.partitionBy("word")
-    found = toks.withColumn("r", F.row_number().over(w.orderBy("doc_id", "pos"))).withColumn("n", F.count("*").over(w))
-    kept = found.where(F.col("r") <= INSTANCES)
+    total = F.sum(F.when(F.col("r") == 1, F.col("c")).otherwise(0)).over(w)
+    kept = some.withColumn("n", total).withColumn("r", F.row_number().over(w.orderBy("doc_id", "pos"))).where(F.col("r") <= INSTANCES)
     return kept.select("word", "source", "doc_id", F.col("pos").cast("long").alias("pos"), (F.col("n") > INSTANCES).alias("truncated"))
 
 
@@ -114,16 +128,31 @@ def bucketed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("lemma").agg(*sums)
 
 
+_CASED = """regexp_extract_all(replace(replace(coalesce(text, ''), '’', ''''), 'ʼ', ''''), '[A-Za-z'']+')"""
+
+
 @query(
     "fn11_distinctiveness",
-    f"""WITH {TOK}, c AS (SELECT substr(word, 1, 4) lemma, sum((source IN ('src0', 'src1'))::INT)::BIGINT b,
+    f"""WITH t AS (SELECT source, trim(unnest({_CASED}), '''') word FROM documents),
+    c AS (SELECT lower(substr(word, 1, 4)) lemma, bool_and(regexp_matches(word, '^[A-Z]')) name, sum((source IN ('src0', 'src1'))::INT)::BIGINT b,
     sum((source IN ('src2', 'src3', 'src4'))::INT)::BIGINT k, sum((source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4'))::INT)::BIGINT h
-    FROM tok WHERE length(word) >= 4 GROUP BY 1)
-    SELECT CASE WHEN b = 0 AND k = 0 AND h >= 3 THEN 'coined' WHEN b + k <= 4 AND b > 0 AND h >= 10 THEN 'rare' ELSE 'none' END label, count(*) lemmas FROM c GROUP BY 1""",
+    FROM t WHERE length(word) >= 4 GROUP BY 1)
+    SELECT lemma, CASE WHEN name THEN 'none' WHEN b = 0 AND k = 0 AND h >= 3 THEN 'coined' WHEN 0 < b AND b < 5 THEN 'rare' ELSE 'none' END label FROM c""",
 )
 def fn11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = distinctiveness_label(F.col("before"), F.col("contemporary"), F.col("here"))
-    return bucketed_counts(spark, sf_dir).groupBy(label.alias("label")).agg(F.count("*").alias("lemmas"))
+    """The label of each lemma; one that is only found capitalised is a name and gets none."""
+    plain = F.translate(F.coalesce("text", F.lit("")), "’ʼ", "''")
+    cased = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z']+"), F.lit(0))).alias("w"))
+    words = cased.select("source", F.btrim("w", F.lit("'")).alias("w")).where(F.length("w") >= 4)
+    # equal words of a source are counted before they are told apart by period
+    counted = words.groupBy("source", "w").agg(F.count("*").alias("n"))
+    within = lambda *names: F.sum(F.when(F.col("source").isin(*names), F.col("n")).otherwise(0))
+    before, beside = within("src0", "src1"), within("src2", "src3", "src4")
+    sums = counted.groupBy(F.lower(F.substring("w", 1, 4)).alias("lemma")).agg(
+        before.alias("before"), beside.alias("contemporary"), (F.sum("n") - before - beside).alias("here"), F.bool_and(F.col("w").rlike("^[A-Z]")).alias("name")
+    )
+    key = F.concat(F.when(F.col("name"), "*").otherwise(""), F.col("lemma"))
+    return sums.select("lemma", distinctiveness_label(F.col("before"), F.col("contemporary"), F.col("here"), key).alias("label"))
 
 
 # ---- ambiguous categories ----------------------------------------------------------

@@ -4,31 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import english_words, shard_letter
-from corvane.operators.tokens import OFF, TOK, offset_tokens, tokens
+from corvane.operators.tokens import OFF, OFFSET_RANGE, TOK, neighbour, offset_tokens, running_before, tokens
 from corvane.plans.registry import query
 from corvane.sources.tables import table
 
 
-def grams(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, source, lang, pos, gram): each run of n words of a document, which is a hard border.
+def _runs(docs: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, source, lang, pos, w0, w1, ..): each word with those behind it in its document, null behind the end.
 
-    Built inside the row from the array of words: no window, no shuffle.
+    Zipped and spread inside the row, so phrases need no window and no shuffle.
     """
     worded = docs.select("doc_id", "source", "lang", english_words(F.col("text")).alias("w"))
-    worded = worded.where(F.size("w") >= n)
-    starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-    runs = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(n))))
-    return worded.select("doc_id", "source", "lang", F.posexplode(runs).alias("pos", "gram"))
+    shifted = [F.slice("w", k + 1, F.size("w")).alias(f"w{k}") for k in range(longest)]
+    runs = worded.select("doc_id", "source", "lang", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "r"))
+    return runs.select("doc_id", "source", "lang", "pos", *[F.col(f"r.w{k}").alias(f"w{k}") for k in range(longest)])
+
+
+def _joined(n: int) -> Column:
+    """The phrase of the first n words; null where there are fewer."""
+    return F.concat(*[c for k in range(n) for c in ([F.lit(" ")] if k else []) + [F.col(f"w{k}")]])
+
+
+def grams(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, source, lang, pos, gram): each run of n words of a document, which is a hard border."""
+    found = _runs(docs, n).where(F.col(f"w{n - 1}").isNotNull())
+    return found.select("doc_id", "source", "lang", "pos", _joined(n).alias("gram"))
 
 
 def all_grams(docs: DataFrame, shortest: int = 2, longest: int = 5) -> DataFrame:
-    """grams of each length, with the length as n."""
-    each = [grams(docs, n).withColumn("n", F.lit(n)) for n in range(shortest, longest + 1)]
-    return reduce(DataFrame.unionByName, each)
+    """grams of each length, with the length as n; the words are found once and the lengths fan out inside the row."""
+    lengths = F.array(*[F.struct(F.lit(n).alias("n"), _joined(n).alias("gram")) for n in range(shortest, longest + 1)])
+    each = _runs(docs, longest).select("doc_id", "source", "lang", "pos", F.inline(lengths))
+    return each.where(F.col("gram").isNotNull())
 
 
 def recurring(gram_rows: DataFrame, least: int = 2) -> DataFrame:
@@ -47,10 +58,11 @@ def recurring(gram_rows: DataFrame, least: int = 2) -> DataFrame:
 def weighted_pmi(phrases: DataFrame, toks: DataFrame, n: int) -> DataFrame:
     """phrases with score = count * log2(count / expected), expected = total * product of (n_i / total).
 
-    0 where nothing is expected. Unigram counts are joined once for each place of the phrase.
+    0 where nothing is expected. Unigram counts are joined once for each place of the phrase; the
+    total is the sum of these counts.
     """
     unigrams = toks.groupBy("word").agg(F.count("*").alias("n_word"))
-    total = toks.agg(F.count("*").cast("double").alias("total"))
+    total = unigrams.agg(F.sum("n_word").cast("double").alias("total"))
     out = phrases.withColumn("__w", F.split("gram", " "))
     expected = F.col("total")
     for i in range(n):
@@ -63,9 +75,10 @@ def weighted_pmi(phrases: DataFrame, toks: DataFrame, n: int) -> DataFrame:
 
 
 _BIGRAMS = f"""WITH {TOK},
-u AS (SELECT word, count(*) n FROM tok GROUP BY word), t AS (SELECT count(*)::DOUBLE total FROM tok),
-p AS (SELECT doc_id, source, word a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) b FROM tok),
-g AS (SELECT a, b, count(*) c, count(DISTINCT source) sources FROM p WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 2)
+u AS (SELECT word, count(*) n FROM tok GROUP BY word), t AS (SELECT sum(n)::DOUBLE total FROM u),
+p AS (SELECT source, ws[i] a, ws[i + 1] b FROM (SELECT source, ws, unnest(range(1, len(ws))) i FROM w)),
+s AS (SELECT a, b, source, count(*) c FROM p GROUP BY a, b, source),
+g AS (SELECT a, b, sum(c)::BIGINT c, count(*) sources FROM s GROUP BY a, b HAVING sum(c) >= 2)
 SELECT a || ' ' || b gram, c count, sources, round(c * log2(c / (total * (x.n / total) * (y.n / total))), 6) score
 FROM g JOIN u x ON x.word = a JOIN u y ON y.word = b, t"""
 
@@ -130,8 +143,8 @@ def straddles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delta_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of a word in each source, as differences between neighbours."""
     found = offset_tokens(table(spark, sf_dir, "documents")).where("word = 'the'").select("source", "off")
-    before = F.lag("off").over(Window.partitionBy("source").orderBy("off"))
-    return found.withColumn("delta", F.col("off") - F.coalesce(before, F.lit(0)))
+    coded = neighbour(found, ["source"], "off", "before", width=OFFSET_RANGE)
+    return coded.select("source", "off", (F.col("off") - F.coalesce("before", F.lit(0))).alias("delta"))
 
 
 @query(
@@ -141,8 +154,8 @@ def delta_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decoded_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The differences summed up again."""
     coded = delta_offsets(spark, sf_dir)
-    upto = Window.partitionBy("source").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    return coded.select("source", F.sum("delta").over(upto).alias("off"))
+    summed = running_before(coded, ["source"], "off", F.col("delta"), "before", OFFSET_RANGE)
+    return summed.select("source", (F.col("before") + F.col("delta")).alias("off"))
 
 
 @query(
@@ -186,16 +199,48 @@ def reading_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossed.groupBy(F.concat_ws(" ", "x", "y").alias("gram")).agg(F.sum("c").alias("count")).where("count >= 20")
 
 
+# Words that make a phrase grammatical only; two others at least must stand in one that is shown.
+FUNCTION_WORDS = """a an the this that these those which who whom whose what
+and or but nor if then than as so because although though while whereas
+of in on at to for from by with without within into upon about against
+among between through during over under above below across along
+is are was were be been being am do does did done have has had having
+will would shall should may might can could must let
+it its he she they them their his her our your my we you i one
+not no nor never ever also too very much more most less least
+there here now when where how why some any all both each every other another same""".split()
+
+
+def content_words(gram: Column) -> Column:
+    """How many words of a phrase are no function words."""
+    stop = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
+    return F.size(F.filter(F.split(gram, " "), lambda w: ~F.array_contains(stop, w)))
+
+
+def browsed(phrases: DataFrame, lengths: list[int], least: int, prefixes: list[str], common: bool = False) -> DataFrame:
+    """phrases of some lengths, found so often, that start with one of the prefixes; grammatical ones only if `common`."""
+    starts = reduce(Column.__or__, [F.col("gram").startswith(p) for p in prefixes]) if prefixes else F.lit(True)
+    kept = phrases.where(F.col("n").isin(lengths) & (F.col("count") >= least) & starts)
+    return kept if common else kept.where(content_words(F.col("gram")) >= 2)
+
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in dict.fromkeys(FUNCTION_WORDS))
+#: Phrases of some lengths found at least so often, in SQL: (n, gram, count, sources).
+_PHRASES = f"""WITH {TOK}, p AS (SELECT n, source, array_to_string(ws[i:i + n - 1], ' ') gram FROM
+  (SELECT w.*, n, unnest(range(1, len(ws) - n + 2)) i FROM w, (SELECT unnest([2, 3]) n) WHERE len(ws) >= n)),
+s AS (SELECT n, gram, source, count(*) c FROM p GROUP BY n, gram, source),
+g AS (SELECT n, gram, sum(c)::BIGINT count, count(*) sources FROM s GROUP BY n, gram HAVING sum(c) >= 2)"""
+
+
 @query(
     "flt09_phrase_browser",
-    _BIGRAMS.replace("SELECT a || ' ' || b gram, c count, sources, round(", "SELECT * FROM (SELECT a || ' ' || b gram, c count, sources, round(")
-    + ") WHERE count >= 5 AND gram LIKE 'th%' AND len(list_filter(string_split(gram, ' '), lambda x: x NOT IN ('the', 'and', 'of', 'to', 'is', 'this', 'that'))) >= 1",
+    f"""{_PHRASES} SELECT n, gram, count, sources FROM g WHERE count >= 3 AND gram LIKE 'th%'
+    AND len(list_filter(string_split(gram, ' '), lambda x: x NOT IN ({_STOP_SQL}))) >= 2""",
 )
 def phrase_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases with a prefix, a least count and at least one content word."""
-    stop = F.array(*[F.lit(w) for w in ("the", "and", "of", "to", "is", "this", "that")])
-    content = F.size(F.array_except(F.split("gram", " "), stop))
-    return bigram_pmi(spark, sf_dir).where((F.col("count") >= 5) & F.col("gram").startswith("th") & (content >= 1))
+    """Phrases of two and three words with a typed prefix, a least count and two content words at least."""
+    found = recurring(all_grams(table(spark, sf_dir, "documents"), 2, 3))
+    return browsed(found, [2, 3], 3, ["th"])
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import english_words
-from corvane.operators.tokens import OFF, TOK, offset_tokens, segment_bases, tokens
+from corvane.operators.tokens import OFF, TOK, offset_tokens, running_before, segment_bases, tokens
 from corvane.plans.registry import query
 from corvane.sources.tables import table
 
@@ -32,33 +32,53 @@ def dangling(df: DataFrame, key: str, reference: DataFrame, reference_key: str)
     return df.where(F.col(key).isNotNull()).join(known, key, "left_anti")
 
 
-BREATHINGS = ("̓", "̔")
-VOWELS = "αεηιουω"
+# The breathings, and beginnings of words in which crasis puts a breathing further in.
+BREATHINGS = ("\u0313", "\u0314")
+VOWELS = "αειηουω"
+CRASIS = ("ἐγᾠ", "ἐγᾦ", "μεντἀ", "καλοκἀ")
+
+
+def late_breathings(word: str) -> list[str]:
+    """The letters that carry a breathing behind the opening of a word.
+
+    The opening is its first two vowels at most, whatever consonants come before them, and
+    ends at the first consonant behind a vowel.
+    """
+    found, vowels, closed, letter = [], 0, False, ""
+    for c in unicodedata.normalize("NFD", word):
+        if unicodedata.combining(c):
+            if c in BREATHINGS and (closed or vowels > 2):
+                found.append(letter)
+            continue
+        letter = c.lower()
+        if letter in VOWELS:
+            vowels += 1
+        elif c.isalpha() and vowels:
+            closed = True
+    return found
 
 
 def illegal_breathing(word: str) -> bool:
-    """A breathing that is on neither the first vowel group of a word nor an initial rho."""
-    seen_vowel = False
-    run_open = True
-    for i, c in enumerate(unicodedata.normalize("NFD", word).lower()):
-        if c in VOWELS:
-            if seen_vowel and not run_open:
-                run_open = False
-            seen_vowel = seen_vowel or True
-        elif c in BREATHINGS:
-            initial_rho = i == 1 and word[:1].lower() in "ρῥ"
-            if not initial_rho and not (seen_vowel and run_open):
-                return True
-        elif not unicodedata.combining(c):
-            if seen_vowel or c != "ρ":
-                run_open = False
-    return False
-
-
-def breathing_violations(words: Column) -> Column:
-    @F.pandas_udf("boolean")
+    """Whether a breathing stands behind the opening of a word."""
+    return bool(late_breathings(word))
+
+
+def breathing_state(word: str) -> str:
+    """ok, crasis or rho (late breathings that are in order), or unexpected."""
+    late = late_breathings(word)
+    if not late:
+        return "ok"
+    if unicodedata.normalize("NFD", word).startswith(tuple(unicodedata.normalize("NFD", p) for p in CRASIS)):
+        return "crasis"
+    return "rho" if all(letter == "ρ" for letter in late) else "unexpected"
+
+
+def breathing_states(words: Column) -> Column:
+    """breathing_state of each word; null for null."""
+
+    @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda w: bool(w) and illegal_breathing(w))
+        return values.map(lambda w: None if w is None else breathing_state(w))
 
     return run(words)
 
@@ -140,33 +160,67 @@ def dq08(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("dq09_index_parity", f"WITH {TOK} SELECT word, doc_id, pos FROM tok WHERE FALSE")
+@query(
+    "dq09_index_parity",
+    f"""WITH {TOK}, i AS (SELECT word, doc_id, pos FROM tok WHERE lang <> 'es')
+    SELECT doc_id, count(*) stream, 0::BIGINT indexed FROM tok WHERE lang = 'es' GROUP BY doc_id""",
+)
 def dq09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings and the word stream have the same rows, both ways."""
+    """Segments whose word stream and postings differ: the index here is one made before the Spanish documents came."""
     docs = table(spark, sf_dir, "documents")
-    stream = tokens(docs).select("word", "doc_id", "pos")
-    listed = docs.select("doc_id", F.arrays_zip(english_words(F.col("text")).alias("w")).alias("z"))
-    index = listed.select("doc_id", F.posexplode("z").alias("pos", "z")).select("z.w", "doc_id", "pos").toDF("word", "doc_id", "pos")
-    return stream.exceptAll(index).union(index.exceptAll(stream)).withColumn("pos", F.col("pos").cast("long"))
+    old = docs.where("lang <> 'es'").select("doc_id", F.posexplode(english_words(F.col("text"))).alias("pos", "word"))
+    return index_parity(tokens(docs).select("doc_id", "pos", "word"), old)
+
+
+def index_parity(stream: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, stream, indexed): how many rows of a segment only the stream has, and only the index.
+
+    Both are (doc_id, pos, word). Equal rows cancel out in one aggregate, without a join.
+    """
+    both = stream.withColumn("side", F.lit(1)).unionByName(index.withColumn("side", F.lit(-1)))
+    left = both.groupBy("doc_id", "pos", "word").agg(F.sum("side").alias("d")).where("d <> 0")
+    return left.groupBy("doc_id").agg(
+        F.sum(F.greatest("d", F.lit(0))).alias("stream"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("indexed")
+    )
 
 
 @query(
     "dq10_category_column",
-    f"""WITH {TOK} SELECT doc_id, pos, length(word) % 5 + 2 sig_id FROM tok WHERE length(word) % 5 + 2 NOT BETWEEN 2 AND 6""",
+    f"""WITH {TOK} SELECT doc_id, pos, length(word) % 7 sig_id FROM tok WHERE length(word) % 7 NOT BETWEEN 2 AND 5""",
 )
 def dq10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category ids outside the table, or on the two reserved ids."""
-    sig = (F.length("word") % 5 + 2).cast("long")
+    """Category ids outside the table (here: above 5), or on the two reserved ids."""
+    sig = (F.length("word") % 7).cast("long")
     found = tokens(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), sig.alias("sig_id"))
-    return found.where(~F.col("sig_id").between(2, 6))
+    return found.where(~F.col("sig_id").between(2, 5))
+
 
+#: Latin letters, the Greek ones they are written with here, and the place of the breathing that is put into a word.
+_LATIN, _GREEK = "abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω"
+_BREATHED = f"""(SELECT source, substr(g, 1, k) || '\u0313' || substr(g, k + 1) word FROM
+  (SELECT source, translate(word, '{_LATIN}', '{_GREEK}') g, length(word) % 4 + 1 k FROM tok WHERE length(word) >= 4 AND NOT regexp_matches(word, '[jv'']')))"""
 
-@query("dq11_breathing_gate")
+
+@query(
+    "dq11_breathing_gate",
+    f"""WITH {TOK}, b AS {_BREATHED},
+    f AS (SELECT source, word, regexp_matches(word, '[αειηουω].*[βγδζθκλμνξπρστφχψ].*\u0313') OR regexp_matches(word, '([αειηουω].*){{3}}\u0313') late FROM b),
+    s AS (SELECT source, CASE WHEN NOT late THEN 'ok' WHEN regexp_matches(word, '^(ἐγᾠ|μεντἀ|καλοκἀ)') THEN 'crasis'
+      WHEN regexp_matches(word, 'ρ\u0313') THEN 'rho' ELSE 'unexpected' END state FROM f)
+    SELECT source, state, count(*) n FROM s GROUP BY source, state""".replace("\u0313", "̓"),
+)
 def dq11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with a breathing where none can be, per source; the documents have no Greek, so none."""
-    words = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", r"\s+")).alias("word"))
-    greek = words.where(F.col("word").rlike(r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]"))
-    return greek.withColumn("bad", breathing_violations(F.col("word"))).where("bad").groupBy("source").agg(F.count("*").alias("n"))
+    """Words by the state of their breathings, per source; words with j or v have no Greek letter.
+
+    The documents have no Greek, so their words are written in Greek letters, with a breathing
+    behind the first to fourth. Equal words are judged once.
+    """
+    toks = tokens(table(spark, sf_dir, "documents")).where((F.length("word") >= 4) & ~F.col("word").rlike("[jv']"))
+    counted = toks.groupBy("source", "word").agg(F.count("*").alias("c"))
+    greek, k = F.translate("word", _LATIN, _GREEK), F.length("word") % 4 + 1
+    breathed = F.concat(F.substr(greek, F.lit(1), k), F.lit("\u0313"), F.substr(greek, k + 1))
+    judged = counted.select("source", "c", breathing_states(breathed).alias("state"))
+    return judged.groupBy("source", "state").agg(F.sum("c").alias("n"))
 
 
 @query(
@@ -208,15 +262,16 @@ def dq13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dq14_tiling",
-    """SELECT conv_id, turn, nxt FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) nxt FROM conversations) WHERE nxt <> turn + 1
-    UNION ALL SELECT conv_id, min(turn), NULL FROM conversations GROUP BY conv_id HAVING min(turn) <> 0""",
+    """WITH l AS (SELECT DISTINCT l_orderkey k, l_linenumber n FROM lineitem WHERE l_returnflag <> 'R')
+    SELECT k, n, nxt FROM (SELECT k, n, lead(n) OVER (PARTITION BY k ORDER BY n) nxt FROM l) WHERE nxt <> n + 1
+    UNION ALL SELECT k, min(n), NULL FROM l GROUP BY k HAVING min(n) <> 1""",
 )
 def dq14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divisions tile their parent: no hole, no overlap, and the first starts at its beginning."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    nxt = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    holes = turns.withColumn("nxt", nxt).where("nxt <> turn + 1")
-    late = turns.groupBy("conv_id").agg(F.min("turn").alias("turn")).where("turn <> 0").withColumn("nxt", F.lit(None).cast("long"))
+    """Divisions that do not tile their parent: a hole behind one, or a first one that does not start at its beginning."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).distinct()
+    nxt = F.lead("n").over(Window.partitionBy("k").orderBy("n"))
+    holes = lines.withColumn("nxt", nxt).where("nxt <> n + 1")
+    late = lines.groupBy("k").agg(F.min("n").alias("n")).where("n <> 1").withColumn("nxt", F.lit(None).cast("int"))
     return holes.unionByName(late)
 
 
@@ -291,9 +346,8 @@ def dq16(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised names that a neighbouring segment has as well."""
     docs = table(spark, sf_dir, "documents")
-    ix = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     names = docs.select("doc_id", "source", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0))).alias("names"))
-    numbered = docs.select("doc_id", ix.alias("ix"))
+    numbered = running_before(docs.select("doc_id", "source"), ["source"], "doc_id", F.lit(1), "ix").select("doc_id", "ix")
     flat = names.join(numbered, "doc_id").select("doc_id", "source", "ix", F.explode("names").alias("name"))
     w = Window.partitionBy("source", "name").orderBy("ix")
     near = (F.col("ix") - F.lag("ix").over(w) == 1) | (F.lead("ix").over(w) - F.col("ix") == 1)

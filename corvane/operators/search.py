@@ -114,7 +114,10 @@ def flt03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where(F.size(english_words(F.col("text"))) > 0).select("doc_id")
 
 
-@query("flt04_phrase_regex")
+@query(
+    "flt04_phrase_regex",
+    r"""SELECT doc_id FROM documents WHERE regexp_matches(' ' || substr(lower(text), 1, 500) || ' ', '[^a-z'']of[^a-z'']+the[^a-z'']')""",
+)
 def flt04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase as a pattern with look-around over the first 500 characters, which is what the feature searches."""
     head = F.substring(F.lower("text"), 1, 500)
@@ -210,12 +213,12 @@ _LEMMAS = "list_distinct([substr(word, 1, 4), substr(word, 1, 3)])"
 
 @query(
     "q05_headwords",
-    f"""WITH {TOK}, m AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 4 AND word LIKE 'th%')
+    f"""WITH {TOK}, m AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 4)
     SELECT word, list_sort(list_distinct(list_concat([word], {_LEMMAS}))) headwords FROM m""",
 )
 def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A typed word stands for itself and its headwords; one that the map lacks for itself."""
-    words = tokens(_docs(spark, sf_dir)).where("length(word) >= 4 AND word LIKE 'th%'").select("word").distinct()
+    words = tokens(_docs(spark, sf_dir)).where("length(word) >= 4").select("word").distinct()
     lemma_map = words.select("word", F.array_distinct(F.array(F.substring("word", 1, 4), F.substring("word", 1, 3))).alias("lemmas"))
     joined = words.join(lemma_map, "word", "left")
     return joined.select(

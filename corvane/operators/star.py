@@ -178,15 +178,15 @@ def fn23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn23_changed_rows",
-    """WITH a AS (SELECT doc_id, md5(text) h FROM documents), b AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) h FROM documents WHERE doc_id % 11 <> 0)
+    """WITH a AS (SELECT doc_id, md5(text) h FROM documents), b AS (SELECT doc_id, md5(replace(text, '  ', ' ') || CASE WHEN lang = 'fr' THEN '.' ELSE '' END) h FROM documents WHERE lang <> 'es')
     SELECT a.doc_id, CASE WHEN b.h IS NULL THEN 'removed' ELSE 'changed' END state FROM a LEFT JOIN b USING (doc_id) WHERE b.h IS NULL OR a.h <> b.h""",
 )
 def fn23_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs between two versions of a table (the second is derived here), by content hash."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     a = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    after = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    b = docs.where("doc_id % 11 <> 0").select("doc_id", F.md5(after.cast("binary")).alias("h2"))
+    after = F.concat(F.replace("text", F.lit("  "), F.lit(" ")), F.when(F.col("lang") == "fr", ".").otherwise(""))
+    b = docs.where("lang <> 'es'").select("doc_id", F.md5(after.cast("binary")).alias("h2"))
     state = F.when(F.col("h2").isNull(), "removed").otherwise("changed")
     return a.join(b, "doc_id", "left").where("h2 IS NULL OR h <> h2").select("doc_id", state.alias("state"))
 
@@ -203,14 +203,14 @@ def fn07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn19_note_cross_check",
-    """WITH m AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) k FROM conversations WHERE role = 'user'),
-    n AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) k FROM conversations WHERE role = 'assistant')
+    """WITH m AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{7,}'))) k FROM conversations WHERE role = 'user'),
+    n AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{7,}'))) k FROM conversations WHERE role = 'assistant')
     SELECT DISTINCT coalesce(m.conv_id, n.conv_id) conv_id, coalesce(m.k, n.k) k, m.k IS NOT NULL marked, n.k IS NOT NULL noted
     FROM m FULL JOIN n ON m.conv_id = n.conv_id AND m.k = n.k WHERE m.k IS NULL OR n.k IS NULL""",
 )
 def fn19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers without a note and notes without a marker (numbers of a question and of its answers)."""
-    found = table(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("k"))
+    """Markers without a note and notes without a marker (long capitalised words of the questions and the answers stand for them)."""
+    found = table(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{7,}"), F.lit(0))).alias("k"))
     sides = found.groupBy("conv_id", "k").agg(
         F.max((F.col("role") == "user").cast("int")).alias("a"), F.max((F.col("role") == "assistant").cast("int")).alias("b")
     )

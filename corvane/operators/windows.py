@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.tokens import TOK, tokens
+from corvane.operators.tokens import TOK, running_before, tokens
 from corvane.plans.registry import query
 from corvane.sources.tables import table
 
@@ -70,25 +70,14 @@ def strictly_increasing(values: list[int], low: int, high: int) -> list[int]:
 @query(
     "win03_sliding_windows",
     f"""WITH {TOK} SELECT doc_id, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w three FROM tok
-    WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY lead(word, 2) OVER w IS NOT NULL AND pos % 50 = 0""",
-)
-def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word windows inside a document, at every fiftieth word."""
-    return win03_whole(spark, sf_dir).where("pos % 50 = 0")
-
-
-@query(
-    "win03_sliding_windows_whole",
-    f"""WITH {TOK} SELECT doc_id, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w three FROM tok
     WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY lead(word, 2) OVER w IS NOT NULL""",
 )
-def win03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word windows inside a document, at every word."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    toks = tokens(table(spark, sf_dir, "documents"))
-    three = F.concat_ws(" ", "word", F.lead("word").over(w), F.lead("word", 2).over(w))
-    found = toks.withColumn("three", three).withColumn("third", F.lead("word", 2).over(w))
-    return found.where("third IS NOT NULL").select("doc_id", F.col("pos").cast("long").alias("pos"), "three")
+    from corvane.operators.ngrams import grams
+
+    found = grams(table(spark, sf_dir, "documents"), 3)
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("gram").alias("three"))
 
 
 @query(
@@ -238,12 +227,12 @@ def win17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win18_proportional_ticks",
-    """SELECT doc_id, line, (line - 1) * n_chars // 25 off FROM documents, (SELECT unnest([1, 5, 10, 15, 20, 25]) line) WHERE n_chars >= 500""",
+    """SELECT doc_id, line, (line - 1) * n_chars // 25 off FROM documents, (SELECT unnest([1, 5, 10, 15, 20, 25]) line)""",
 )
 def win18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks for line 1 and every fifth line, placed in proportion over a text."""
     lines = F.array(*[F.lit(x).cast("long") for x in (1, 5, 10, 15, 20, 25)])
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 500").select("doc_id", "n_chars", F.explode(lines).alias("line"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(lines).alias("line"))
     return docs.select("doc_id", F.col("line").cast("int").alias("line"), F.expr("(line - 1) * n_chars div 25").alias("off"))
 
 
@@ -285,8 +274,14 @@ def win20(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ord01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus order: by a work's rank, then document order."""
     number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(number, "doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", rank.alias("rank"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", number.alias("number"))
+    # documents of the works before, over one row a work; then those of the work itself
+    sized = docs.groupBy("lang", "number").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    base = sized.select(F.col("lang").alias("l"), F.col("number").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = running_before(docs, ["lang", "number"], "doc_id", F.lit(1), "inside")
+    met = own.join(base, F.col("lang").eqNullSafe(F.col("l")) & F.col("number").eqNullSafe(F.col("k")))
+    return met.select("doc_id", (F.col("base") + F.col("inside") + 1).alias("rank"))
 
 
 @query(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Schemas of the tables; reading never infers one.
@@ -24,6 +28,36 @@ SCHEMAS = {
 }
 
 
+#: Tables whose rows hold texts, so that a few rows are much work.
+_TEXTS = ("documents", "pages", "conversations")
+#: Bytes that a scan reads in one piece at least, as row groups are written.
+_ROW_GROUP = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input folder.
+
+    A table of texts in too few row groups to keep all cores busy is dealt out to them; it is
+    at most a row group for each core, so this shuffle is bounded. Larger tables are read as they lie.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name not in _TEXTS:
+        return df
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if held.getLength() // _ROW_GROUP + held.getFileCount() < cores else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a local session may go without: there it is a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,14 +6,12 @@ definition runs on both; `drain` runs a streaming query over what there is and r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import english_words
 from corvane.plans.registry import query
-from corvane.sources.tables import SCHEMAS, table
+from corvane.sources.tables import SCHEMAS, shared_folder, table
 
 LATE = "10 minutes"
 
@@ -61,11 +59,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows of a streaming query over the input there is."""
-    name = f"q{uuid.uuid4().hex}"
-    running = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All rows of a streaming query over the input there is.
+
+    Each batch is written to a folder of its own in the shared one, so no row passes the driver and a
+    batch that runs twice replaces itself; in complete mode the last batch is the result.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, "stream")
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        done.append(number)
+
+    running = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return df.sparkSession.table(name)
+    wanted = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    if not wanted:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{folder}/out/batch={n}" for n in wanted])
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,23 +111,27 @@ def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(_batch(spark, sf_dir)).select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
-@query("str04_stream_tumbling", """SELECT event_type, count(*) n FROM events GROUP BY 1""")
+@query(
+    "str04_stream_tumbling",
+    """SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT "start", event_type, count(*) n, round(sum("value"), 4) total FROM events GROUP BY 1, 2""",
+)
 def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tumbling windows run as a stream to its end, summed up again: late data is in order here, so nothing is lost."""
+    """The tumbling windows run as a stream to its end: every window, with its count and sum."""
     found = drain(tumbling(event_stream(spark, sf_dir)), "complete")
-    return found.groupBy("event_type").agg(F.sum("n").alias("n"))
+    return found.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("str05_stream_repeats", "SELECT count(*) n, count(DISTINCT event_id) events FROM events")
+@query("str05_stream_repeats", "SELECT event_id, user_id, event_type FROM events")
 def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drain(without_repeats(event_stream(spark, sf_dir)))
-    return found.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+    """Each event of the stream, once; a stream with every event twice has the same rows."""
+    events = event_stream(spark, sf_dir)
+    return drain(without_repeats(events.union(events))).select("event_id", "user_id", "event_type")
 
 
 @query(
     "str06_stream_join",
-    """SELECT count(*) n FROM events b JOIN events c ON b.user_id = c.user_id AND c.ts <= b.ts AND c.ts >= b.ts - INTERVAL 1 HOUR
+    """SELECT b.event_id, c.event_id click_id FROM events b JOIN events c ON b.user_id = c.user_id AND c.ts <= b.ts AND c.ts >= b.ts - INTERVAL 1 HOUR
     WHERE b.event_type = 'purchase' AND c.event_type = 'click'""",
 )
 def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(purchases_after_clicks(event_stream(spark, sf_dir))).agg(F.count("*").alias("n"))
+    return drain(purchases_after_clicks(event_stream(spark, sf_dir)))
