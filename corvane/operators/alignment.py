@@ -6,13 +6,14 @@ distributes the groups.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import english_words
@@ -21,6 +22,8 @@ from corvane.plans.registry import query
 from corvane.sources.tables import table
 
 GAP, FLOOR, BAND = 0.35, 0.3, 6
+#: Rows of hashes that may be broadcast.
+SEED_ROWS = 200_000
 
 
 def monotonic_alignment(scores: np.ndarray) -> tuple[list[int], list[float]]:
@@ -210,50 +213,84 @@ def bead_alignment(left: list[int], right: list[int], score: Callable[[int, int,
     return out[::-1]
 
 
-def fuzzy_runs(left: list[str], right: list[str], least: int = 4, per_error: int = 6) -> list[tuple[int, int, int, int]]:
+#: Steps along two sequences: both on, or one word of either side left out; and what they cost.
+_STEPS = ((1, 1, 0), (2, 1, 1), (1, 2, 1))
+
+
+def _walked(left: list[str], right: list[str], i: int, j: int, way: int, per_error: int) -> list[tuple[int, int, int]]:
+    """Where a run may end that starts at a pair of equal words and goes on one way: (left, right, errors so far).
+
+    Equal words come first, then a word left out on the left, then on the right. If neither goes on,
+    both words are taken for a substitution, which can't end a run; at the end of one side, a word
+    that is left over on the other may. It stops with two errors more than the length allows.
+    """
+    ends, errors, from_i = [(i, j, 0)], 0, i
+    inside = lambda p, q: 0 <= p < len(left) and 0 <= q < len(right)
+    while True:
+        for p, q, cost in _STEPS:
+            if inside(i + way * p, j + way * q) and left[i + way * p] == right[j + way * q]:
+                i, j, errors = i + way * p, j + way * q, errors + cost
+                ends.append((i, j, errors))
+                break
+        else:
+            on_left, on_right = 0 <= i + way < len(left), 0 <= j + way < len(right)
+            if not on_left and not on_right:
+                return ends
+            i, j, errors = i + way * on_left, j + way * on_right, errors + 1
+            if errors > (abs(i - from_i) + 1) // per_error + 1:
+                return ends
+            if not (on_left and on_right):
+                ends.append((i, j, errors))
+
+
+def _without_edges(left: list[str], right: list[str], run: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    """A run of equal lengths without substitutions at its ends."""
+    a, b, c, d = run
+    while b - a == d - c and a < b:
+        if left[a] != right[c]:
+            a, c = a + 1, c + 1
+        elif left[b - 1] != right[d - 1]:
+            b, d = b - 1, d - 1
+        else:
+            break
+    return a, b, c, d
+
+
+def fuzzy_runs(left: list[str], right: list[str], least: int = 4, per_error: int = 6, function_words: frozenset[str] = frozenset()) -> list[tuple[int, int, int, int]]:
     """Runs of both sequences that are alike: (left from, to, right from, to), ends exclusive.
 
-    Seeds are equal words; a run grows both ways over equal words and single substitutions, at
-    most one for `per_error` words, and neither begins nor ends with one. Runs of fewer than
-    `least` words, and runs inside others, are dropped.
+    Seeds are equal content words and equal runs of `least` words. A run grows both ways over equal
+    words, words that one side lacks and substitutions, one error for `per_error` words of the left
+    side at most; the longest for each seed counts. Runs shorter than `least` or inside others are dropped.
     """
-    places: dict[str, list[int]] = {}
+    places: dict = {}
     for j, w in enumerate(right):
-        places.setdefault(w, []).append(j)
+        if w not in function_words:
+            places.setdefault(w, []).append(j)
+        if j + least <= len(right):
+            places.setdefault(tuple(right[j : j + least]), []).append(j)
+    seeds = [(i, j) for i, w in enumerate(left) if w not in function_words for j in places.get(w, ())]
+    seeds += [(i, j) for i in range(len(left) - least + 1) for j in places.get(tuple(left[i : i + least]), ())]
     found: set[tuple[int, int, int, int]] = set()
-    # on a diagonal the best run from each place of a match, greedily extended
-    diagonals: dict[int, list[int]] = {}
-    for i, w in enumerate(left):
-        for j in places.get(w, ()):
-            diagonals.setdefault(j - i, []).append(i)
-    for d, hits in diagonals.items():
-        start = 0
-        while start < len(hits):
-            end, errors = start, 0
-            k = start + 1
-            while k < len(hits):
-                gap = hits[k] - hits[end] - 1
-                size = hits[k] - hits[start] + 1
-                if gap > 1 or errors + gap > size // per_error:
-                    break
-                errors += gap
-                end = k
-                k += 1
-            # a gap that was too early may be allowed once the run is longer
-            for far in range(len(hits) - 1, end, -1):
-                size = hits[far] - hits[start] + 1
-                missing = size - (far - start + 1)
-                steps = [hits[t + 1] - hits[t] - 1 for t in range(start, far)]
-                if missing <= size // per_error and max(steps, default=0) <= 1:
-                    end = far
+    for i, j in dict.fromkeys(seeds):
+        ahead, back = _walked(left, right, i, j, 1, per_error), _walked(left, right, i, j, -1, per_error)
+        best = None
+        # a way on that is shorter than what is found can't help
+        for a, c, e in reversed(back):
+            for b, d, f in reversed(ahead):
+                if b + 1 - a <= (best[1] - best[0] if best else least - 1):
                     break
-            lo, hi = hits[start], hits[end] + 1
-            if hi - lo >= least:
-                found.add((lo, hi, lo + d, hi + d))
-            start = end + 1
-    return sorted(
-        r for r in found if not any(o != r and o[0] <= r[0] and o[1] >= r[1] and o[2] <= r[2] and o[3] >= r[3] for o in found)
-    )
+                run = _without_edges(left, right, (a, b + 1, c, d + 1))
+                size = run[1] - run[0]
+                if size >= least and e + f <= size // per_error and (best is None or size > best[1] - best[0]):
+                    best = run
+        if best:
+            found.add(best)
+    kept: list[tuple[int, int, int, int]] = []
+    for r in sorted(found, key=lambda r: (r[0] - r[1], r[2] - r[3], r)):
+        if not any(k[0] <= r[0] and r[1] <= k[1] and k[2] <= r[2] and r[3] <= k[3] for k in kept):
+            kept.append(r)
+    return sorted(kept)
 
 
 def run_score(words: list[str], function_words: set[str]) -> int:
@@ -406,11 +443,7 @@ def aln08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null text is an empty one.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split(text, "\n").alias("a"))
-    # the next document is found on ids alone; texts then join by id
-    nxt = neighbour(docs.select("source", "doc_id"), ["source"], "doc_id", "next", behind=True).where("next IS NOT NULL")
-    pairs = nxt.join(docs.select("doc_id", "a"), "doc_id").join(docs.select(F.col("doc_id").alias("next"), F.col("a").alias("b")), "next")
+    pairs = _line_pairs(spark, sf_dir).select("doc_id", F.split("a", "\n").alias("a"), F.split("b", "\n").alias("b"))
 
     def similar(p: set, q: set) -> float:
         both = len(p & q)
@@ -453,12 +486,14 @@ def aln14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn17_fuzzy_spans")
 def jn17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotations of benchmark items in documents: pairs by shared 6-word runs, then extended over errors.
+    """Quotations of benchmark items in documents, of eight words at least, extended over errors and gaps.
 
-    Seeds meet in a join on the run's hash; only pairs that share one are extended, with their
-    texts beside them.
+    A run of eight words or more has one error for six words at most, so four words in a row are
+    equal in it (see the tests): pairs meet by the hashes of their four-word runs, the items' side
+    broadcast if it is small. Only pairs that share one are extended, with their texts beside them.
     """
-    n = 6
+    n = 4
+    words = frozenset("the and of to a in is".split())
 
     def worded(df: DataFrame, key: str) -> DataFrame:
         return df.select(key, english_words(F.col("text")).alias("w"))
@@ -468,15 +503,17 @@ def jn17(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(key, F.explode(starts).alias("i"), "w").select(key, F.xxhash64(F.slice("w", F.col("i"), F.lit(n))).alias("h")).distinct()
 
     docs, items = worded(table(spark, sf_dir, "documents"), "doc_id"), worded(table(spark, sf_dir, "benchmark"), "item_id")
-    pairs = seeds(docs, "doc_id").join(seeds(items, "item_id"), "h").select("doc_id", "item_id").distinct()
+    asked = seeds(items, "item_id")
+    asked = F.broadcast(asked) if asked.limit(SEED_ROWS + 1).count() <= SEED_ROWS else asked
+    pairs = seeds(docs, "doc_id").join(asked, "h").select("doc_id", "item_id").distinct()
     both = pairs.join(docs.withColumnRenamed("w", "a"), "doc_id").join(items.withColumnRenamed("w", "b"), "item_id")
 
     def run(batches):
         for pdf in batches:
             rows = [
-                (r.doc_id, r.item_id, *span, run_score(list(r.a)[span[0] : span[1]], {"the", "and", "of", "to", "a", "in", "is"}))
+                (r.doc_id, r.item_id, *span, run_score(list(r.a)[span[0] : span[1]], words))
                 for r in pdf.itertuples()
-                for span in fuzzy_runs(list(r.a), list(r.b), least=8)
+                for span in fuzzy_runs(list(r.a), list(r.b), 8, function_words=words)
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "lo", "hi", "item_lo", "item_hi", "score"])
 
@@ -484,9 +521,239 @@ def jn17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "item_id", "a", "b").mapInPandas(run, kinds)
 
 
-@query("aln09_unique_seeds", """WITH a AS (SELECT n_name x, n_nationkey k, n_regionkey r FROM nation) SELECT r, count(*) n FROM a GROUP BY r""")
+# ---- seeds, windows, plans ---------------------------------------------------------
+
+# Least similarity of a seed, of an accepted match and of any; least margin, least share of matched lines.
+SEED_SIMILARITY, ACCEPTED, LOW, MARGIN, COVERED = 0.6, 0.55, 0.3, 0.1, 0.4
+SEED_LETTERS = 3
+TOKEN_BAND, TOKEN_GAP = 12, 0.6
+
+
+def shared_words(a: set, b: set) -> float:
+    return len(a & b) / max(1, len(a | b))
+
+
+def unique_seeds(lines: list[list[str]], window: list[list[str]]) -> list[tuple[int, int, float]]:
+    """(line, window line, similarity): lines tied by their rarest word, if the window has it on one line only.
+
+    Equally rare words: the first in the alphabet. Of these ties, the longest chain that ascends on
+    both sides stays; of equally long ones that with the larger sum of similarities.
+    """
+    spots: dict[str, list[int]] = {}
+    for k, line in enumerate(window):
+        for w in set(line):
+            spots.setdefault(w, []).append(k)
+    ties = []
+    for i, line in enumerate(lines):
+        known = [(len(spots[w]), w) for w in set(line) if len(w) >= SEED_LETTERS and w in spots]
+        if known and min(known)[0] == 1:
+            k = spots[min(known)[1]][0]
+            s = shared_words(set(line), set(window[k]))
+            if s >= SEED_SIMILARITY:
+                ties.append((i, k, s))
+    # the best chain that ends in each tie: (length, sum, tie before)
+    chains: list[tuple[int, float, int]] = []
+    for at, (_, k, s) in enumerate(ties):
+        best = (1, s, -1)
+        for b in range(at):
+            if ties[b][1] < k and (chains[b][0] + 1, chains[b][1] + s) > best[:2]:
+                best = (chains[b][0] + 1, chains[b][1] + s, b)
+        chains.append(best)
+    out, at = [], max(range(len(ties)), key=lambda t: (chains[t][0], chains[t][1], -t), default=-1)
+    while at >= 0:
+        out.append(ties[at])
+        at = chains[at][2]
+    return out[::-1]
+
+
+def window_coverage(lines: list[set], window: list[set]) -> float:
+    """The mean similarity of a window's lines to the lines aligned to them; 0 for those without one."""
+    if not window:
+        return 0.0
+    pairs = banded_alignment(lines, window, shared_words)
+    return sum(shared_words(lines[i], window[j]) for i, j in pairs if i is not None and j is not None) / len(window)
+
+
+def best_window(lines: list[set], chapters: list[list[set]], hint: int | None = None) -> tuple[int, float]:
+    """The chapter that lines belong to, and its coverage: the hinted one if it is covered well, else the best of all."""
+    if hint is not None and 0 <= hint < len(chapters) and (own := window_coverage(lines, chapters[hint])) >= COVERED:
+        return hint, own
+    found = [window_coverage(lines, c) for c in chapters]
+    at = max(range(len(found)), key=lambda k: (found[k], -k), default=-1)
+    return at, found[at] if found else 0.0
+
+
+def row_state(partners: int, similarity: float, margin: float, beside_gap: bool) -> str:
+    """matched (accepted as it is), low (to be looked at), merged, or missing."""
+    if not partners or partners == 1 and similarity < LOW:
+        return "missing"
+    if partners > 1:
+        return "merged"
+    return "matched" if similarity >= ACCEPTED and margin >= MARGIN and not beside_gap else "low"
+
+
+def relined(flow: list[str], rows: list[list[str]]) -> tuple[list[list[str]], float]:
+    """A flow of words cut into as many rows as there are, each word to the row of the word it matches.
+
+    Words that match none go to the row of the word before them (the first row, at the start). Also
+    the share of the rows' words that are matched.
+    """
+    owner = [k for k, row in enumerate(rows) for _ in row]
+    words = [w for row in rows for w in row]
+    out: list[list[str]] = [[] for _ in rows]
+    at, matched = 0, 0
+    for i, j in banded_alignment(flow, words, lambda a, b: float(a == b), TOKEN_GAP, 1.0, TOKEN_BAND):
+        if i is None:
+            continue
+        if j is not None:
+            at, matched = owner[j], matched + 1
+        if out:
+            out[at].append(flow[i])
+    return out, matched / max(1, len(words))
+
+
+def _lines(text: str | None) -> list[list[str]]:
+    return [line.lower().split() for line in (text or "").split("\n") if line.strip()]
+
+
+def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, a, b): the texts of each document and of the next one of its source."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("a"))
+    nxt = neighbour(docs.select("source", "doc_id"), ["source"], "doc_id", "next", behind=True).where("next IS NOT NULL")
+    pairs = nxt.join(docs.select("doc_id", "a"), "doc_id").join(docs.select(F.col("doc_id").alias("next"), F.col("a").alias("b")), "next")
+    return pairs.select("doc_id", "a", "b")
+
+
+@query("aln09_unique_seeds")
 def aln09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a region's names have once are seeds; each name is one word here, so all are."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), F.explode(F.split("n_name", " ")).alias("x"))
-    once = names.groupBy("r", "x").agg(F.count("*").alias("c")).where("c = 1")
-    return once.groupBy("r").agg(F.count("*").alias("n"))
+    """Ties between the lines of a document and of the next one of its source, by words that are on one line only."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(r.doc_id, i, k, round(s, 6)) for r in pdf.itertuples() for i, k, s in unique_seeds(_lines(r.a), _lines(r.b))]
+            yield pd.DataFrame(rows, columns=["doc_id", "line", "partner", "similarity"])
+
+    return _line_pairs(spark, sf_dir).mapInPandas(run, "doc_id long, line long, partner long, similarity double")
+
+
+@query("aln10_best_window")
+def aln10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each answer, the question of its conversation whose sentences cover it best; the one before it is the hint."""
+    from corvane.functions.text import sentences
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.transform(sentences(F.col("text")), english_words).alias("s"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn")
+        sets = [(int(t), r, [set(x) for x in s]) for t, r, s in zip(pdf["turn"], pdf["role"], pdf["s"], strict=True)]
+        asked = [(t, s) for t, r, s in sets if r == "user"]
+        rows = []
+        for t, r, s in sets:
+            if r == "assistant" and asked:
+                hint = next((k for k in range(len(asked) - 1, -1, -1) if asked[k][0] < t), None)
+                at, cover = best_window(s, [own for _, own in asked], hint)
+                rows.append((int(pdf["conv_id"].iloc[0]), t, asked[at][0], round(cover, 6)))
+        return pd.DataFrame(rows, columns=["conv_id", "turn", "window", "coverage"])
+
+    return turns.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, window long, coverage double")
+
+
+@query("aln11_relined")
+def aln11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a question's answer cut into the question's lines; as many rows as it has sentences."""
+    from corvane.functions.text import sentences
+
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.transform(sentences(F.col("text")), english_words).alias("rows"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), english_words(F.col("text")).alias("flow"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                rows, cover = relined(list(r.flow), [list(x) for x in r.rows])
+                out += [(r.conv_id, r.turn, k, len(row), round(cover, 6)) for k, row in enumerate(rows)]
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "row", "words", "coverage"])
+
+    return asked.join(said, ["conv_id", "turn"]).mapInPandas(run, "conv_id long, turn long, row long, words long, coverage double")
+
+
+@query("aln04_chapter_alignment")
+def aln04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's questions as anchors in the text of its answers: offset, tier and confidence."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn")
+        asked = pdf[pdf["role"] == "user"]
+        rows = chapter_anchors(list(zip(asked["turn"], asked["text"], strict=True)), " ".join(pdf[pdf["role"] == "assistant"]["text"]))
+        return pd.DataFrame([(int(pdf["conv_id"].iloc[0]), *r) for r in rows], columns=["conv_id", "turn", "offset", "confidence", "margin"])
+
+    return turns.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, offset long, confidence string, margin double")
+
+
+#: A margin above this makes an anchor reliable.
+MARGIN_OK = 0.05
+
+
+def chapter_anchors(references: list[tuple[int, str]], prose: str, fixed: dict[int, int] | None = None) -> list[tuple[int, int, str, float]]:
+    """(reference, offset, confidence, margin): references in order placed at sentence starts of a text.
+
+    The first is the chapter itself, at 0 and certain; others are reliable by their margin, or
+    uncertain. Offsets in `fixed` were confirmed by a reader and count before all. Of references at one
+    offset the most trusted stays, and one that would go back behind an earlier one is dropped.
+    """
+    starts, at = [], 0
+    for part in re.findall(r"[^.!?]*[.!?]+\s*|[^.!?]+$", prose):
+        starts.append((at + len(part) - len(part.lstrip()), part))
+        at += len(part)
+    if not references or not starts:
+        return []
+    words = lambda t: set(re.findall("[a-z']+", t.lower()))
+    scores = np.array([[shared_words(words(t), words(s)) for _, s in starts] for _, t in references])
+    path, margins = monotonic_alignment(scores)
+    trust = {"certain": 3, "confirmed": 2, "reliable": 1, "uncertain": 0}
+    made = []
+    for k, ((name, _), j, m) in enumerate(zip(references, path, margins, strict=True)):
+        offset, told = (0, "certain") if not k else (starts[j][0], "reliable" if m > MARGIN_OK else "uncertain")
+        if fixed and name in fixed:
+            offset, told = min(max(0, fixed[name]), len(prose)), "confirmed"
+        made.append((int(name), int(offset), told, round(float(m), 6)))
+    kept: dict[int, tuple] = {}
+    for a in made:
+        if a[1] not in kept or trust[a[2]] > trust[kept[a[1]][2]]:
+            kept[a[1]] = a
+    out, far = [], -1
+    for a in made:
+        if kept.get(a[1]) == a and a[1] > far:
+            out.append(a)
+            far = a[1]
+    return out
+
+
+def tick_windows(lines: DataFrame, by: str, n: str, every: int = 5) -> DataFrame:
+    """(by, tick, line): the lines above, at and below each tick (line 1 and every fifth), inside the group."""
+    w = Window.partitionBy(by).orderBy(n)
+    tick = (F.col(n) == 1) | (F.col(n) % every == 0)
+    found = lines.select(by, n, F.lag(n).over(w).alias("up"), F.lead(n).over(w).alias("down"), tick.alias("tick")).where("tick")
+    return found.select(by, F.col(n).alias("tick"), F.explode(F.array_compact(F.array("up", n, "down"))).alias("line"))
+
+
+@query(
+    "aln07_tick_windows",
+    """WITH l AS (SELECT DISTINCT l_orderkey k, l_linenumber n FROM lineitem), w AS (SELECT k, n, lag(n) OVER o up, lead(n) OVER o down FROM l WINDOW o AS (PARTITION BY k ORDER BY n))
+    SELECT k, n tick, unnest(list_filter([up, n, down], lambda x: x IS NOT NULL)) line FROM w WHERE n = 1 OR n % 5 = 0""",
+)
+def aln07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).distinct()
+    return tick_windows(lines, "k", "n")
+
+
+@query("aln07_batches")
+def aln07_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole orders of a customer, in order, put into batches of at most 30 lines of tick windows."""
+    from corvane.operators.windows import greedy_pages
+
+    lines = aln07(spark, sf_dir).select("k", "line").distinct().groupBy("k").agg(F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("k"))
+    return greedy_pages(orders.join(lines, "k"), "o_custkey", "k", "n", 30)

@@ -22,6 +22,8 @@ _MODULES = (
     "corvane.operators.quality",
     "corvane.operators.star",
     "corvane.operators.alignment",
+    "corvane.operators.lookup",
+    "corvane.operators.repair",
     "corvane.streaming.events",
 )
 

@@ -242,6 +242,9 @@ def test_beads():
         ("abcde", "xxabcdeyy", [(0, 5, 2, 7)]),
         ("abcdef", "abcdef", [(0, 6, 0, 6)]),
         ("abcdef", "abxdef", [(0, 6, 0, 6)]),
+        ("abcdef", "abdef", [(0, 6, 0, 5)]),
+        ("abdefg", "abcdefg", [(0, 6, 0, 7)]),
+        ("abcdefghijklm", "abcxdefghijlm", [(0, 13, 0, 13)]),
         ("abcd", "abxd", []),
         ("abcdefX", "abcdefY", [(0, 6, 0, 6)]),
     ],
@@ -311,3 +314,104 @@ def test_long_stretches_without_anchors_are_matched():
         for j, y in enumerate(b):
             row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
     assert len(found) == row[-1]
+
+
+def test_eight_words_with_errors_hold_four_equal_ones():
+    """What the join of four-word runs may rely on: n words, one error for six of them at most."""
+    for n in range(8, 60):
+        errors = n // 6
+        # errors part the equal words into so many runs at most; a gap on the left takes a word of the run as well
+        assert -(-(n - errors) // (errors + 1)) >= 4
+
+
+def test_unique_seeds():
+    split = lambda *t: [x.split() for x in t]
+    window = split("alpha beta gamma", "delta epsilon zeta", "eta theta iota", "alpha kappa lambda")
+    lines = split("beta gamma alpha", "theta eta iota", "delta epsilon zeta", "lambda kappa alpha", "unknown words here", "alpha alpha alpha")
+    assert [(i, k) for i, k, _ in A.unique_seeds(lines, window)] == [(0, 0), (1, 2), (3, 3)]
+    assert A.unique_seeds([], window) == [] and A.unique_seeds(lines, []) == []
+
+
+def test_windows_and_states():
+    sets = lambda *t: [set(x.split()) for x in t]
+    chapters = [sets("a b c", "d e f"), sets("g h i", "j k l"), sets("m n o")]
+    assert A.best_window(sets("g h i", "j k x"), chapters) == (1, pytest.approx(0.75))
+    assert A.best_window(sets("g h i", "j k l"), chapters, 0) == (1, 1.0)
+    assert A.best_window(sets("a b c", "d e x"), chapters, 0)[0] == 0
+    assert [A.row_state(*x) for x in ((1, 0.9, 0.5, False), (1, 0.9, 0.05, False), (1, 0.9, 0.5, True), (1, 0.4, 0.5, False), (2, 0.9, 0.5, False), (0, 0, 0, False), (1, 0.1, 1, False))] == [
+        "matched", "low", "low", "low", "merged", "missing", "missing"
+    ]
+
+
+def test_relined_keeps_rows_and_words():
+    rows = [x.split() for x in ("a b c d", "e f g", "", "h i")]
+    out, cover = A.relined("a b x c d e g h i y".split(), rows)
+    assert out == ["a b x c d".split(), "e g".split(), [], "h i y".split()] and cover == pytest.approx(8 / 9)
+    assert A.relined([], rows) == ([[], [], [], []], 0.0)
+
+
+def test_chapter_anchors():
+    prose = "Of birds first. Then fishes swim in water. Last of all stones lie still."
+    refs = [(1, "birds"), (2, "the fishes that swim in water"), (3, "stones lie still")]
+    assert [a[:3] for a in A.chapter_anchors(refs, prose)] == [(1, 0, "certain"), (2, 16, "reliable"), (3, 43, "reliable")]
+    assert [a[:3] for a in A.chapter_anchors(refs, prose, {2: 20})][1] == (2, 20, "confirmed")
+    assert [a[0] for a in A.chapter_anchors(refs, prose, {3: 2})] == [1, 2]
+    assert A.chapter_anchors([], prose) == [] and A.chapter_anchors(refs, "") == []
+
+
+def test_greek_tokens(spark):
+    from corvane.functions import greek as G
+
+    rows = [("λόγος, καὶ—<ψυ>χή· ἀλλ’ †ἦν† | — [.]",), ("",), (None,), ("  α  β",)]
+    found = spark.createDataFrame(rows, "t string").select(G.greek_tokens(F.col("t")).alias("x")).collect()
+    assert [(t.t, t.o, t.sigla) for t in found[0].x] == [("λόγος", 0, False), ("καὶ", 7, False), ("ψυχή", 11, True), ("ἀλλ’", 19, False), ("ἦν", 24, True)]
+    assert [t.o for t in found[3].x] == [2, 5] and not found[1].x and not found[2].x
+
+
+def test_readings_and_accents(spark):
+    from corvane.functions import greek as G
+
+    df = spark.createDataFrame([("masc nom/voc/acc sg (attic epic)",), ("doric",), (None,)], "p string")
+    found = [r[0] for r in df.select(G.parsed_reading(F.col("p"))).collect()]
+    assert found == [{"case": ["acc", "nom", "voc"], "gender": ["masc"], "number": ["sg"]}, {}, {}]
+    words = spark.createDataFrame([("λόγος",), ("λογός",), ("Λόγος",), ("λόγον",), (None,)], "w string")
+    match = lambda *t: [r[0] for r in words.select(G.accent_matches(F.col("w"), list(t))).collect()]
+    assert match("λόγος") == [True, False, True, False, False]
+    assert match("*λόγ*") == [True, False, True, True, False]
+    assert match("λόγο?", "x") == [True, False, True, True, False]
+
+
+def test_hyphens_and_glosses(spark):
+    from corvane.operators import repair as T
+
+    docs = spark.createDataFrame([(1, "an exam-\nple of well-\nknown and Aris-\ntotle and qq-\nrr"), (2, "plain"), (3, None)], "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in "example well known aristotle".split()], "word string")
+    told = T.hyphen_decisions(docs, words)
+    assert [(r.first, r.action) for r in told.orderBy("i").collect()] == [("exam", "joined"), ("well", "hyphen"), ("Aris", "review"), ("qq", "review")]
+    done = {r.doc_id: r.text for r in T.dehyphenated(docs, told).collect()}
+    assert done == {1: 'an example of well-known and [REVIEW: "Aristotle" or "Aris-totle"?] and [REVIEW: "qqrr" or "qq-rr"?]', 2: "plain", 3: None}
+    assert T.short_definition("<e><sense>x <i>have</i>, <i>hold</i> or <i>keep;</i> of <i>things</i></sense></e>") == "have, hold or keep"
+    assert T.short_definition("<e><i>of or belonging to a</i> z</e>") == "" and T.short_definition("<e>none</e>") == "" and T.short_definition(None) == ""
+    glosses = spark.createDataFrame([("a", "somewhat"), ("b", "have,"), ("c", "have")], "lemma string, gloss string")
+    keys = spark.createDataFrame([("a", "a1"), ("a", "a2"), ("b", "b"), ("b", "b1"), ("c", "c1")], "lemma string, key string")
+    defs = spark.createDataFrame([("a1", "somewhat deficient"), ("a2", "somewhat fearful"), ("b", "have or hold"), ("b1", "have not"), ("c1", "haven")], "key string, definition string")
+    found = {r.lemma: r.extended for r in T.extended_glosses(glosses, keys, defs).collect()}
+    assert found == {"a": "somewhat", "b": "have or hold", "c": "have"}
+
+
+def test_plans_and_tolerance(spark):
+    from corvane.operators import lookup as L
+
+    options = {"to": ["o", "os"], "ti": ["tis"], "hn": []}
+    assert L.browse_plan("to ti hn", options) == ({"o": ["o tis hn", "os tis hn"]}, 0)
+    assert L.browse_plan("to ti hn", None) == ({"t": ["to ti hn"]}, 0)
+    assert L.browse_plan("t", {"t": ["x"]}) == ({"t": ["t"]}, 0) and L.browse_plan("", options) == ({}, 0)
+    assert L.browse_plan("to to", options, cap=3) == ({"o": ["o o", "o os", "os o"]}, 4)
+    assert L.headword_options(spark.createDataFrame([("a",)], "word string"), None).first().options is None
+    assert L.tolerant([1, 0, 2], lambda x: 2 // x) == ({1: 2, 2: 1}, {0: "integer division or modulo by zero"})
+    docs = spark.createDataFrame([(1, "a b c"), (1, "d e"), (1, "")], "seg long, t string")
+    lines = spark.createDataFrame([(1, 1, ["a", "b", "c"]), (1, 3, ["d", "e"]), (1, 4, [])], "seg long, n int, words array<string>")
+    starts = spark.createDataFrame([(1, "I", 1, 1), (1, "II", 2, 1), (1, "III", 9, 0)], "seg long, chapter string, line int, word int")
+    found = sorted((r.block, r.chapter or "", r.n, r.words, r.cont) for r in L.page_blocks(lines, starts).collect())
+    assert found == [(0, "", 1, ["a"], False), (1, "I", 1, ["b", "c"], True), (2, "II", 3, ["d", "e"], False), (2, "II", 4, [], False)]
+    assert docs.count() == 3
