@@ -48,7 +48,7 @@ LEXICON = 5000
 RUN, STEPS, RATE, DECAY = 32, 40, 0.1, 1e-4
 SEED = 11
 #: Words whose scores a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 #: Words of a text beyond which it is worked on by blocks, words in a block, blocks held at once.
 LONG, BLOCK, HELD = 1 << 15, 256, 256
 UNKNOWN = "und"

@@ -28,7 +28,7 @@ import re
 import threading
 import zlib
 
-CACHE = 800_000
+CACHE = 400_000
 UNIT = 40
 
 _PUNCT = ".,!?;:)]}%&*#$|"
