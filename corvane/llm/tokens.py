@@ -17,7 +17,8 @@ seen and gives only new ones to the library. What makes the units exact:
   bytes written as the vocabulary's characters.
 
 The cache holds at most CACHE units of at most UNIT characters, which bounds a worker's
-memory; units beyond are encoded each time. A text that holds the string of one of the
+memory: half of it is the units used since that half was last begun, half those before; a
+unit that was used in neither is forgotten. A text that holds the string of one of the
 vocabulary's added tokens goes to the library as a whole, which gives that token's id.
 """
 
@@ -28,7 +29,7 @@ import re
 import threading
 import zlib
 
-CACHE = 400_000
+CACHE = 600_000
 UNIT = 40
 
 _PUNCT = ".,!?;:)]}%&*#$|"
@@ -80,11 +81,12 @@ class _Units(dict):
         super().__init__()
         self.merge, self.encode, self.prefix, self.lower = made.model.tokenize, encode, prefix, lower
         self.tails: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.characters = _byte_characters()
 
     def __missing__(self, unit: str) -> bytes:
-        ids = None
-        if unit:
+        ids = self.older.get(unit)
+        if ids is None and unit:
             core = unit.rstrip(_PUNCT)
             if core and core != unit and core[-1] < "İ" and core[-1].isalpha():
                 tail = unit[len(core) :]
@@ -100,7 +102,10 @@ class _Units(dict):
                 ids = _packed([t.id for t in self.merge(written)])
         if ids is None:
             ids = self.encode(self.prefix + unit) if unit or self.prefix else b""
-        if len(self) < CACHE and len(unit) <= UNIT:
+        if len(unit) <= UNIT:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
             self[unit] = ids
         return ids
 
