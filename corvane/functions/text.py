@@ -49,7 +49,7 @@ def spaced_words(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences with their end marks, trimmed; empty ones are dropped."""
     raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
-    return F.filter(F.transform(raw, F.trim), lambda s: s != "")
+    return F.filter(F.transform(raw, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def fold_lemma(lemma: Column) -> Column:
