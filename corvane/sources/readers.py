@@ -16,19 +16,26 @@ LINES = "work string, book int, segment string, line_ord int, n int, sub string,
 CHUNKS = "work string, id string, text string, notes array<struct<offset:int,text:string>>"
 
 
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
 def manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Manifests (one small YAML file a work) as rows; a public variant beside a file replaces it."""
-    import yaml
+    """Manifests (one small YAML file a work) as rows; a public variant beside a file replaces it. Files are read by tasks."""
+    kinds = "path string, work string, public boolean, books array<struct<n:int,start:string,end:string>>, expected_gaps array<string>"
 
-    rows = []
-    for path, text in sorted(spark.sparkContext.wholeTextFiles(",".join(paths)).collect()):
-        m = yaml.safe_load(text) or {}
-        books = [(int(b["n"]), str(b.get("start", "")), str(b.get("end", ""))) for b in m.get("books", [])]
-        gaps = [str(g) for g in m.get("expected_line_gaps", [])]
-        rows.append((path, str(m.get("work", "")), ".public." in path, books, gaps))
-    found = spark.createDataFrame(
-        rows, "path string, work string, public boolean, books array<struct<n:int,start:string,end:string>>, expected_gaps array<string>"
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                m = yaml.safe_load(bytes(data).decode("utf-8")) or {}
+                books = [(int(b["n"]), str(b.get("start", "")), str(b.get("end", ""))) for b in m.get("books", [])]
+                rows.append((path, str(m.get("work", "")), ".public." in path, books, [str(g) for g in m.get("expected_line_gaps", [])]))
+            yield pd.DataFrame(rows, columns=["path", "work", "public", "books", "expected_gaps"])
+
+    found = _files(spark, paths).mapInPandas(run, kinds)
     best = found.groupBy("work").agg(F.max(F.struct("public", "path")).alias("b")).select("work", "b.path")
     return found.join(best, ["work", "path"])
 
@@ -216,3 +223,130 @@ def tagged_records(data: bytes, tags: tuple[bytes, ...] = (b"wrk", b"dat", b"typ
                 row[tag.decode()] = m[1].decode("ascii").strip()
         rows.append(row)
     return rows
+
+
+def tagged_files(spark: SparkSession, path: str, tags: tuple[str, ...] = ("wrk", "dat", "typ")) -> DataFrame:
+    """(path, record, fields) of binary files of tagged fields; fields: a map of tags to texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (p, k, record)
+                for p, data in zip(pdf["path"], pdf["content"], strict=True)
+                for k, record in enumerate(tagged_records(bytes(data), tuple(t.encode() for t in tags)))
+            ]
+            yield pd.DataFrame(rows, columns=["path", "record", "fields"])
+
+    return _files(spark, [path]).mapInPandas(run, "path string, record long, fields map<string,string>")
+
+
+# Bytes of a disc's author table, and the languages that it names by a letter.
+_ENDS_AUTHOR, _ALIAS, _LANGUAGE = b"\xff", 0x80, 0x83
+_LANGUAGES = {"g": "greek", "l": "latin", "h": "hebrew", "c": "coptic"}
+
+
+def author_rows(data: bytes) -> list[tuple[str, str, str | None]]:
+    """(id, name, language) of an author table, in its order; records of another shape are left out.
+
+    The name ends where an alias begins; a language may be named behind it. Typographic marks
+    (an ampersand with digits) are spaces.
+    """
+    rows = []
+    for record in data.split(_ENDS_AUTHOR):
+        own = re.search(rb"\x83(.)", record, re.S)
+        language = _LANGUAGES.get(chr(own[1][0])) if own else None
+        bare = re.sub(rb"\x83.?", b"", record, flags=re.S).split(bytes([_ALIAS]))[0]
+        text = "".join(chr(b) for b in bare if 0x20 <= b < 0x7F).strip()
+        m = re.fullmatch(r"([A-Z]{3}\d{4})\s+(.*)", text)
+        name = " ".join(re.sub(r"&\d*", " ", m[2]).split()) if m else ""
+        if name:
+            rows.append((m[1], name, language))
+    return rows
+
+
+def disc_authors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, name, language) of the author tables of discs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, *r) for p, data in zip(pdf["path"], pdf["content"], strict=True) for r in author_rows(bytes(data))]
+            yield pd.DataFrame(rows, columns=["path", "id", "name", "language"])
+
+    return _files(spark, [path]).mapInPandas(run, "path string, id string, name string, language string")
+
+
+def _flat(node, skipped) -> str:
+    """The text of a node without elements that are skipped, in single spaces."""
+
+    def parts(own) -> Iterator[str]:
+        yield own.text or ""
+        for child in own:
+            if not skipped(child):
+                yield from parts(child)
+            yield child.tail or ""
+
+    return " ".join("".join(parts(node)).split())
+
+
+def chapter_rows(data: bytes) -> list[tuple[int, int, str]]:
+    """(book, chapter, prose) of the chapter divisions of a text; without a book around them they are in book 1."""
+    rows = []
+
+    def walk(node, book: int) -> None:
+        if _local(node.tag) == "div":
+            kind, n = node.get("subtype"), node.get("n") or ""
+            if kind == "book" and n.isdigit():
+                book = int(n)
+            elif kind == "chapter" and n.lstrip("-").isdigit():
+                if prose := _flat(node, lambda c: _local(c.tag) in ("note", "bibl", "head")):
+                    rows.append((book, int(n), prose))
+        for child in node:
+            walk(child, book)
+
+    body = next((e for e in ET.fromstring(data).iter() if _local(e.tag) == "body"), None)
+    if body is None:
+        raise ValueError("no body in the text")
+    walk(body, 1)
+    return rows
+
+
+def export_rows(data: bytes) -> list[tuple[int, str, str]]:
+    """(n, place, text) of the lines of a verse export. Notes, references and small print, which cite others, are no text.
+
+    A place is page and section, else book and line, else the fragment, else the line alone.
+    """
+    rows: list[tuple[int, str, str]] = []
+    levels = {"Book": "book", "Stephanus-page": "page", "section": "section", "Fragment": "fragment"}
+    skipped = lambda c: _local(c.tag) in ("note", "bibl") or _local(c.tag) == "hi" and (c.get("rend") or "").lower() == "small"
+
+    def walk(node, at: dict[str, str]) -> None:
+        n = node.get("n") or ""
+        if _local(node.tag) == "div" and node.get("type") in levels:
+            at = at | {levels[node.get("type")]: n}
+        if _local(node.tag) == "l" and re.fullmatch(r"[0-9]+", n):
+            place = at["page"] + at["section"] if at["page"] and at["section"] else f"{at['book']}.{n}" if at["book"] else at["fragment"] or n
+            rows.append((int(n), place, " ".join(_flat(node, skipped).replace("|", "").split())))
+        for child in node:
+            walk(child, at)
+
+    walk(ET.fromstring(data), dict.fromkeys(levels.values(), ""))
+    return rows
+
+
+def _parsed(spark: SparkSession, path: str, rows_of, kinds: str, names: list[str]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, *r) for p, data in zip(pdf["path"], pdf["content"], strict=True) for r in rows_of(bytes(data))]
+            yield pd.DataFrame(rows, columns=["path", *names])
+
+    return _files(spark, [path]).mapInPandas(run, f"path string, {kinds}")
+
+
+def chapter_prose(spark: SparkSession, path: str) -> DataFrame:
+    """(path, book, chapter, prose) of texts with chapter divisions."""
+    return _parsed(spark, path, chapter_rows, "book int, chapter int, prose string", ["book", "chapter", "prose"])
+
+
+def export_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n, place, text) of verse exports."""
+    return _parsed(spark, path, export_rows, "n int, place string, text string", ["n", "place", "text"])

@@ -82,3 +82,46 @@ def test_writers(spark, tmp_path):
     path = writers.cache_path(str(tmp_path), "counts", 1, {"a": 1})
     assert path != writers.cache_path(str(tmp_path), "counts", 1, {"a": 2})
     assert writers.cached(df, path).count() == writers.cached(df.where(F.lit(False)), path).count() == 3
+
+
+def test_tagged_files_and_author_tables(spark, tmp_path):
+    (tmp_path / "canon.bin").write_bytes(b"wrk Alpha  \x00dat 4 B.C.\x00wrk Other\x00")
+    found = [(r.record, r.fields) for r in readers.tagged_files(spark, f"{tmp_path}/canon.bin").orderBy("record").collect()]
+    assert found == [(0, {"wrk": "Alpha", "dat": "4 B.C."}), (1, {"wrk": "Other"})]
+    table = b"ABC0086 Name&1 Phil. et Corpus&\x80Other Name\x83g\xffodd record\xff\xffLAT0001 \x83lCicero\xffLAT0002 &\xff"
+    (tmp_path / "authors.dir").write_bytes(table)
+    rows = [(r.id, r.name, r.language) for r in readers.disc_authors(spark, f"{tmp_path}/authors.dir").orderBy("id").collect()]
+    assert rows == [("ABC0086", "Name Phil. et Corpus", "greek"), ("LAT0001", "Cicero", "latin")]
+
+
+def test_chapters_and_export_lines(spark, tmp_path):
+    (tmp_path / "t.xml").write_text(
+        "<TEI xmlns='x'><body><div subtype='book' n='2'><div subtype='chapter' n='1'><p>One <note>n</note> two\n three</p></div><div subtype='chapter' n='x'/></div>"
+        "<div subtype='chapter' n='7'><p>Alone</p></div></body></TEI>"
+    )
+    assert sorted((r.book, r.chapter, r.prose) for r in readers.chapter_prose(spark, f"{tmp_path}/t.xml").collect()) == [(1, 7, "Alone"), (2, 1, "One two three")]
+    (tmp_path / "e.xml").write_text(
+        "<d><div type='Book' n='3'><l n='4'>a|b <hi rend='small'>not</hi> c</l><l n='x'>no</l></div><div type='Fragment' n='9b'><l n='1'>f <bibl>x</bibl></l></div>"
+        "<div type='Stephanus-page' n='17'><div type='section' n='a'><l n='2'>p</l></div></div><l n='5'>q</l></d>"
+    )
+    rows = [(r.n, r.place, r.text) for r in readers.export_lines(spark, f"{tmp_path}/e.xml").orderBy("n").collect()]
+    assert rows == [(1, "9b", "f"), (2, "17a", "p"), (4, "3.4", "ab c"), (5, "5", "q")]
+
+
+def test_the_entry_tolerates_a_missing_package_only(tmp_path):
+    """Without the optional folder the entry file loads; a fault inside the folder is an error."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{top}/corvane", tmp_path / "corvane", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(f"{top}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len([n for n in e.queries() if n.startswith('op')]))"], cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.strip() == "0"
+    (tmp_path / "corvane" / "llm").mkdir()
+    (tmp_path / "corvane" / "llm" / "__init__.py").write_text("")
+    assert run().stdout.strip() == "0"
+    (tmp_path / "corvane" / "llm" / "registry.py").write_text("from corvane.llm import misspelt\n")
+    assert run().returncode != 0
