@@ -179,13 +179,32 @@ def straight_elision(word: str) -> str:
     return word[:-1] + "'" if word and word[-1] in ELISION_MARKS else word
 
 
-def lookup_variants(key: str) -> list[str]:
-    """Keys to look up in order: the key, without diaeresis marks, each mark moved, as a capital."""
-    found = [key]
-    if "+" in key:
-        found += [key.replace("+", ""), key.replace("+/", "/+"), key.replace("/+", "+/")]
-    found += ["*" + k for k in list(found)]
-    return list(dict.fromkeys(found))
+def capital_key(key: Column) -> Column:
+    """The key of a capital: a star, then the marks of the first letter, then the letter."""
+    return F.when(key.rlike("^[a-z]"), F.regexp_replace(key, r"^([a-z])([()/\\=|+]*)", r"*$2$1")).otherwise(F.concat(F.lit("*"), key))
+
+
+def lookup_variants(key: Column, capitalized: Column | None = None) -> Column:
+    """Keys to look up in order: the key, a diaeresis dropped or read as either breathing, then the capitals of all these."""
+    read = F.array(key, *(F.replace(key, F.lit("+"), F.lit(mark)) for mark in ("", "(", ")")))
+    found = F.when(F.contains(key, F.lit("+")), read).otherwise(F.array(key))
+    return found if capitalized is None else F.when(capitalized, F.concat(found, F.transform(found, capital_key))).otherwise(found)
+
+
+# fixed values: enclitics, and words that only end like one
+ENCLITICS = ("que", "ne", "ve")
+NO_ENCLITIC = ("atque", "neque", "itaque", "absque", "denique", "undique", "utique", "quoque", "namque", "plerumque", "ubique")
+
+
+def latin_variants(word: Column) -> Column:
+    """Keys of a Latin word in order: the whole word in lower case, what an enclitic leaves of it (two letters at least),
+    and, of a word with a capital, the capitals of both."""
+    key = F.lower(word)
+    host = F.when(~key.isin(*NO_ENCLITIC), F.nullif(F.regexp_extract(key, f"^(.{{2,}})(?:{'|'.join(ENCLITICS)})$", 1), F.lit("")))
+    plain = F.array_compact(F.array(key, host))
+    first = F.substring(word, 1, 1)
+    capitals = F.transform(plain, lambda k: F.concat(F.upper(F.substring(k, 1, 1)), F.substr(k, F.lit(2))))
+    return F.when(word.isNull(), None).when(first != F.lower(first), F.concat(plain, capitals)).otherwise(plain)
 
 
 def folded(fold, text: Column) -> Column:
@@ -196,11 +215,3 @@ def folded(fold, text: Column) -> Column:
         return values.map(lambda v: None if v is None else fold(v))
 
     return run(text)
-
-
-def variants(key: Column) -> Column:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lookup_variants)
-
-    return run(key)

@@ -24,6 +24,7 @@ _MODULES = (
     "corvane.operators.alignment",
     "corvane.operators.lookup",
     "corvane.operators.repair",
+    "corvane.operators.assembly",
     "corvane.streaming.events",
 )
 

@@ -15,6 +15,7 @@ from corvane.operators import search as S
 from corvane.operators import similarity as M
 from corvane.operators import tokens as K
 from corvane.operators import windows as W
+from corvane.operators.assembly import assembled_chapters, notes_by_book, uncited
 from corvane.operators.ngrams import all_grams, grams
 
 
@@ -88,7 +89,59 @@ def test_folds():
     assert T.accent_norm("ΛΌΓΟΣ") == "λόγοσ"
     assert T.heading_norm("Περὶ Ψυχῆς, II!") == "περι ψυχης ii"
     assert T.straight_elision("ἀλλ᾽") == "ἀλλ'"
-    assert T.lookup_variants("prau+/s")[:2] == ["prau+/s", "prau/s"]
+
+
+def test_lookup_variants_keep_their_order(spark):
+    rows = [("proi+/ento", False), ("h(ra/kleitos", True), ("i+/n", True), ("'s", True), (None, True)]
+    df = spark.createDataFrame(rows, "key string, capital boolean").select("key", T.lookup_variants(F.col("key"), F.col("capital")).alias("v"))
+    assert [v for (v,) in df.select("v").collect()][:4] == [
+        ["proi+/ento", "proi/ento", "proi(/ento", "proi)/ento"],
+        ["h(ra/kleitos", "*(hra/kleitos"],
+        ["i+/n", "i/n", "i(/n", "i)/n", "*+/in", "*/in", "*(/in", "*)/in"],
+        ["'s", "*'s"],
+    ]
+    words = ["virumque", "Atque", "Romane", "que", "esne", "", None, "Quisque"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(T.latin_variants(F.col("w")).alias("v"))
+    assert [v for (v,) in df.collect()] == [
+        ["virumque", "virum"],
+        ["atque", "Atque"],
+        ["romane", "roma", "Romane", "Roma"],
+        ["que"],
+        ["esne", "es"],
+        [""],
+        None,
+        ["quisque", "quis", "Quisque", "Quis"],
+    ]
+
+
+def test_chapters_are_assembled_over_missing_columns(spark):
+    chunks = spark.createDataFrame(
+        [
+            (1, 10, "alpha beta ", [(1, 0, True), (5, 6, True)], {}),
+            (1, 12, "gamma delta", [(1, 0, True), (5, 2, False), (10, 6, True)], {"2": 6}),
+            (1, 14, "", [], {}),
+            (2, 16, "other book", [(1, 0, True)], {}),
+        ],
+        "book int, col int, text string, ticks array<struct<n:int,off:int,real:boolean>>, sections map<string,int>",
+    )
+    chapters = spark.createDataFrame(
+        [(1, "0", 9, 3), (1, "1", 10, 3), (1, "2", 13, 20), (1, "3", 14, 1), (2, "4", 16, 1), (3, "5", 20, 1)], "book int, chapter string, col int, line int"
+    )
+    found = {r.chapter: (r.citation, r.text, [tuple(a) for a in r.anchors]) for r in assembled_chapters(chunks, chapters).collect()}
+    assert found == {
+        "1": ("10.3", "alpha beta gamma ", [("10.3", 0, "chapter"), ("10.5", 6, "half_column"), ("12.1", 11, "column")]),
+        "2": ("13.20", "delta", [("13.20", 0, "chapter")]),
+        "3": ("14.1", "", [("14.1", 0, "chapter")]),
+        "4": ("16.1", "other book", [("16.1", 0, "chapter")]),
+    }
+
+
+def test_notes_take_the_number_of_their_first_book(spark):
+    cited = spark.createDataFrame([(1, 1, 0, 7), (1, 1, 1, 3), (1, 2, 0, 7), (2, 1, 0, 3), (2, 1, 1, 9)], "book int, chapter int, pos int, note int")
+    labels = notes_by_book(cited)
+    assert {(r.note, r.label) for r in labels.collect()} == {(7, "1.1"), (3, "1.2"), (9, "2.1")}
+    defined = spark.createDataFrame([(7,), (11,)], "note int")
+    assert [r.note for r in uncited(defined, labels).collect()] == [11]
 
 
 def test_grams_stay_in_their_document(spark):
