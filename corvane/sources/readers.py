@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import struct
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from concurrent.futures import Future
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -350,3 +353,112 @@ def chapter_prose(spark: SparkSession, path: str) -> DataFrame:
 def export_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, n, place, text) of verse exports."""
     return _parsed(spark, path, export_rows, "n int, place string, text string", ["n", "place", "text"])
+
+
+# fixed values: how an archive's pages mark chapters, their furniture, and where their text ends
+CHAPTER_MARKERS = {"number": r"([0-9]{1,2})", "part": r"Part\s+([0-9]{1,3})", "part_roman": r"Part\s+([IVXLC]+)"}
+INLINE_TAGS = "a span i b em strong sup sub font".split()
+FURNITURE = [r"-?\bTHE\s+END\b-?", r"Table\s+of\s+Contents", r"Browse\s+and\s+Comment", r"Buy\s+Books(?:\s+and\s+CD-ROMs)?", r"©\s*[0-9]{4}(?:\s*-\s*[0-9]{4})?"]
+MENU_WORDS = ("Home", "Search", "Help")
+TEXT_ENDS = (r"Commentary:", r"How\s+to\s+cite")
+ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
+
+#: A blank line ends a paragraph only behind the end of a sentence: some pages have one behind every wrapped line.
+_PARAGRAPH_END = re.compile(r"""([.?!:]["'’”)\]]?)\n{2,}""")
+
+
+def _number(numeral: str) -> int:
+    if numeral.isdigit():
+        return int(numeral)
+    values = [ROMAN[c] for c in numeral]
+    return sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))
+
+
+def _archive_lines(data: bytes) -> list[str]:
+    """The text lines of an archive's page from its translator's line on, without menus and repeated page heads."""
+    page = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", data.decode("utf-8", errors="replace"))
+    body = re.search(r"(?is)<body.*?</body>", page)
+    # wrapped lines begin with an anchor, so inline tags are no line breaks; all others are
+    text = re.sub(rf"(?i)</?(?:{'|'.join(INLINE_TAGS)})\b[^>]*>", "", body[0] if body else page)
+    text = html.unescape(re.sub(r"<[^>]+>", "\n", text))
+    # what is left of page-number templates whose attributes hold a closing bracket
+    text = re.sub(r'(?s)[\s",\[\]]*\{"template":.*?>\s*', " ", text)
+    text = text[max(text.find("Translated by"), 0) :]
+    for end in TEXT_ENDS:
+        if found := re.compile(end).search(text, 200):
+            text = text[: found.start()]
+    text = re.sub("|".join(FURNITURE), "", text)
+    lines: list[str] = []
+    menu: list[str] = []
+    for k, line in enumerate(x.strip() for x in text.split("\n")):
+        if line in MENU_WORDS or menu and not line:
+            menu.append(line)
+            continue
+        if sum(map(bool, menu)) < 2:  # such a word alone is text
+            lines += menu
+        menu = []
+        if not (k and re.match(r"Translated\s+by", line)):
+            lines.append(line)
+    return lines if sum(map(bool, menu)) > 1 else lines + menu
+
+
+def archive_rows(data: bytes, marker: str = "number") -> list[tuple[int, str]]:
+    """(chapter, prose) of an archive's page. A chapter begins at a line that is its marker, if it is the next one due.
+
+    Lines are joined by spaces and a line break ends a paragraph. Quotation marks that verse repeats are kept.
+    """
+    pattern = re.compile(CHAPTER_MARKERS[marker])
+    chapters: list[list[str]] = []
+    for line in _archive_lines(data):
+        found = pattern.fullmatch(line)
+        if found and _number(found[1]) == len(chapters) + 1:
+            chapters.append([])
+        elif chapters:
+            chapters[-1].append(line)
+    prose = []
+    for lines in chapters:
+        text = "\n".join([*lines, ""]).lstrip("\n")
+        prose.append("\n".join(" ".join(p.split()) for p in _PARAGRAPH_END.sub("\\1\0", text).split("\0")))
+    return list(enumerate(prose, 1))
+
+
+def archive_chapters(spark: SparkSession, path: str, marker: str = "number") -> DataFrame:
+    """(path, chapter, prose) of an archive's pages, one a book."""
+    return _parsed(spark, path, lambda data: archive_rows(data, marker), "chapter int, prose string", ["chapter", "prose"])
+
+
+class Once:
+    """Calls `load` once for each key; others who ask meanwhile wait for the same call. One that fails is forgotten, so the next asks again."""
+
+    def __init__(self, load: Callable):
+        self._load, self._held, self._lock = load, {}, Lock()
+
+    def __call__(self, key: Hashable):
+        with self._lock:
+            held = self._held.get(key)
+            first = held is None
+            if first:
+                held = self._held[key] = Future()
+        if first:
+            try:
+                held.set_result(self._load(key))
+            except BaseException as e:
+                with self._lock:
+                    if self._held.get(key) is held:
+                        del self._held[key]
+                held.set_exception(e)
+        return held.result()
+
+    def forget(self, wanted: Callable = lambda key: True) -> None:
+        with self._lock:
+            self._held = {k: v for k, v in self._held.items() if not wanted(k)}
+
+
+def index_files(spark: SparkSession, folder: str, columns: list[str] | None = None) -> Once:
+    """The Parquet files of a folder by name, each opened when first asked for; of a file only `columns` are read."""
+
+    def load(name: str) -> DataFrame:
+        found = spark.read.parquet(f"{folder}/{name}.parquet")
+        return found.select(*columns) if columns else found
+
+    return Once(load)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.sources import readers, writers
@@ -125,3 +126,34 @@ def test_the_entry_tolerates_a_missing_package_only(tmp_path):
     assert run().stdout.strip() == "0"
     (tmp_path / "corvane" / "llm" / "registry.py").write_text("from corvane.llm import misspelt\n")
     assert run().returncode != 0
+
+
+def test_archive_pages(spark, tmp_path):
+    page = """<html><head><title>1</title></head><body><script>var x = 1;</script>
+<h1>On Things</h1>Translated by A. B.<br>1<br><a name="1"></a>All men<a name="2"></a>
+say so, e.g. in
+
+1984
+<br><br>and more. <br><br>He said: &quot;Yes.&quot;<br><br>THE END<br>Home<br>&nbsp;<br>Search<br>Help<br>
+Translated by A. B.<br>Search<br>2<br>Second<br>3 things<br>7<br>end.<br>Part I<br>Commentary: none<br>3<br>lost</body></html>""".replace("Second", "Second " + "word " * 40)
+    (tmp_path / "book.html").write_text(page)
+    rows = readers.archive_chapters(spark, str(tmp_path / "book.html")).orderBy("chapter").collect()
+    assert [(r.chapter, r.prose) for r in rows] == [
+        (1, 'All men say so, e.g. in 1984 and more.\nHe said: "Yes."\nSearch'),
+        (2, "Second " + "word " * 40 + "3 things 7 end. Part I"),
+    ]
+    parts = b"Part I<br>a.<br><br><br>Part III<br>b<br>Part II<br>c<br>Part III<br>d<br>Part IV<br>e"
+    assert readers.archive_rows(parts, "part_roman") == [(1, "a.\nPart III b"), (2, "c"), (3, "d"), (4, "e")]
+    assert [readers._number(n) for n in ("XLIV", "XIX", "9")] == [44, 19, 9]
+    assert readers.archive_rows(b"") == readers.archive_rows(b"no chapters") == []
+
+
+def test_index_files_are_opened_once_and_tried_again(spark, tmp_path):
+    files = readers.index_files(spark, str(tmp_path), ["id"])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files("a")
+    spark.range(3).withColumn("x", F.lit(1)).write.parquet(str(tmp_path / "a.parquet"))
+    assert files("a").columns == ["id"] and files("a") is files("a")
+    held = files("a")
+    files.forget(lambda key: key == "a")
+    assert files("a") is not held
