@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import english_words, shard_letter
+from corvane.operators.phrases import phrase_totals, recurring_phrases
 from corvane.operators.tokens import OFF, OFFSET_RANGE, TOK, neighbour, offset_tokens, running_before, tokens
 from corvane.plans.registry import query
 from corvane.sources.tables import table
@@ -97,7 +98,7 @@ def bigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n, gram, count(*) count, count(DISTINCT source) sources FROM g GROUP BY n, gram HAVING count(*) >= 2""",
 )
 def agg03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurring(all_grams(table(spark, sf_dir, "documents")))
+    return recurring_phrases(table(spark, sf_dir, "documents"))
 
 
 @query(
@@ -109,13 +110,8 @@ def agg03(spark: SparkSession, sf_dir: str) -> DataFrame:
     sum(CASE WHEN c >= 2 THEN c ELSE 0 END)::BIGINT occurrences FROM c GROUP BY ROLLUP (n)""",
 )
 def phrases_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = recurring(all_grams(table(spark, sf_dir, "documents")), least=1)
-    many = F.col("count") >= 2
-    return counted.rollup("n").agg(
-        F.count("*").alias("distinct_phrases"),
-        F.sum(many.cast("int")).alias("kept"),
-        F.sum(F.when(many, F.col("count")).otherwise(0)).alias("occurrences"),
-    )
+    parts = phrase_totals(table(spark, sf_dir, "documents"))
+    return parts.rollup("n").agg(*[F.sum(c).alias(c) for c in ("distinct_phrases", "kept", "occurrences")])
 
 
 @query(
