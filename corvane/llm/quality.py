@@ -7,12 +7,12 @@ measured by its mean path length, is unlike the others. The score is 2^(-path /
 
 The forest splits on those statistics that tell labelled good rows from others best.
 
-Bounds: the forest is fitted on about SAMPLE documents at most (distinct rows of statistics,
-chosen by a hash), the threshold is calibrated on about LABELLED labelled documents at most,
-likewise chosen. The threshold is the one with the best balanced accuracy on the labelled rows
-among those that reject at most MAY_LOSE of the good ones. Without labelled rows of both
-kinds, the threshold is the sample's 1 - MAY_LOSE quantile. Statistics, scores and
-verdicts cover every document.
+Each tree grows on TREE_ROWS rows, as the method has it; they are drawn from SAMPLE of the distinct
+rows of the whole table, chosen by a hash. All else comes from all rows: the statistics are chosen and the threshold is
+set by the scores of every labelled row, counted by score (with five decimals, so these are few). The threshold is
+the one with the best balanced accuracy on the labelled rows among those that reject at most
+MAY_LOSE of the good ones. Without labelled rows of both kinds, it is the 1 - MAY_LOSE quantile of
+all rows' scores. Statistics, scores and verdicts cover every document.
 
 Null, empty and blank texts have no words and fail the base rules. Repeated rows have
 repeated results; an empty table has none. Only doc_id and text are read, and doc_id and
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from corvane.llm.common import durable, hashed_sample, id_and_text, small_batches
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-SAMPLE, LABELLED = 8192, 20_000
 TREES, TREE_ROWS = 128, 256
+SAMPLE = TREES * TREE_ROWS
+#: Scores have so many decimals.
+DECIMALS = 5
 MAY_LOSE = 0.005
 SEED = 7
 
@@ -190,22 +192,68 @@ def threshold(good: np.ndarray, bad: np.ndarray, may_lose: float = MAY_LOSE) ->
     return float((tried[at] + above[0]) / 2 if len(above) else tried[at])
 
 
-def chosen_features(sample: np.ndarray, rows: np.ndarray, good: np.ndarray) -> list[int]:
-    """The statistics to split on, by forward selection on labelled rows; all, without both kinds of labels.
+def counted_quantile(values: np.ndarray, times: np.ndarray, share: float) -> float:
+    """np.quantile of values (ascending) that occur so many times."""
+    upto, place = np.cumsum(times), (times.sum() - 1) * share
+    low, high = (values[np.searchsorted(upto, at + 1)] for at in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
 
-    Each step adds the statistic with which a small forest, at its threshold, keeps most
-    good rows and rejects most others; it ends when none adds a thousandth.
+
+def counted_threshold(values: np.ndarray, good: np.ndarray, bad: np.ndarray, may_lose: float = MAY_LOSE) -> float | None:
+    """threshold, of ascending scores and how many good and bad rows have each."""
+    if not good.sum() or not bad.sum():
+        return None
+    least = counted_quantile(values, good, 1 - may_lose)
+    tried = np.unique(np.concatenate([[least], values[values >= least]]))
+    upto = np.searchsorted(values, tried, side="right")
+    kept = np.append(0, np.cumsum(good))[upto] / good.sum()
+    caught = 1 - np.append(0, np.cumsum(bad))[upto] / bad.sum()
+    at = int(np.argmax(kept + caught))
+    above = values[values > tried[at]]
+    return float((tried[at] + above[0]) / 2 if len(above) else tried[at])
+
+
+def scores_counted(rows: DataFrame, forests: dict[int, tuple[list[int], IsolationForest]]) -> dict[int, tuple[np.ndarray, ...]]:
+    """Of each forest: the scores of all rows, ascending, and how many good and bad rows have each. rows: counts and good."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = features({c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*COUNTS, *MORE)})
+            good = batch.column("good").to_numpy(zero_copy_only=False).astype(np.int64)
+            for f, (columns, forest) in forests.items():
+                score = np.rint(forest.scores(made[:, columns]) * 10**DECIMALS).astype(np.int64)
+                found, times = np.unique(score * 2 + good, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), f)), pa.array(found), pa.array(times)], ["f", "v", "n"])
+
+    found = rows.mapInArrow(run, "f long, v long, n long").groupBy("f", "v").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for f in forests:
+        own = found[found["f"] == f]
+        scores, at = np.unique(own["v"].to_numpy() // 2, return_inverse=True)
+        kinds = [np.zeros(len(scores), np.int64) for _ in range(2)]
+        for kind in (0, 1):
+            some = (own["v"].to_numpy() % 2) == kind
+            kinds[kind][at[some]] = own["n"].to_numpy()[some]
+        out[f] = (np.round(scores / 10**DECIMALS, DECIMALS), kinds[1], kinds[0])
+    return out
+
+
+def chosen_by_all(sample: np.ndarray, labelled: DataFrame) -> list[int]:
+    """The statistics to split on, by forward selection on all labelled rows; all, without both kinds of labels.
+
+    Each step adds the statistic with which a small forest, at its threshold, keeps most good rows and rejects
+    most others; it ends when none adds a thousandth. A step is a pass over the labelled rows.
     """
-    if not good.any() or good.all():
-        return list(range(sample.shape[1]))
     chosen, best = [], 0.0
     while len(chosen) < sample.shape[1]:
+        tried = {f: sorted([*chosen, f]) for f in range(sample.shape[1]) if f not in chosen}
+        forests = {f: (c, IsolationForest(sample[:, c], TREES // 4)) for f, c in tried.items()}
         found = []
-        for f in set(range(sample.shape[1])) - set(chosen):
-            columns = sorted([*chosen, f])
-            scored = IsolationForest(sample[:, columns], TREES // 4).scores(rows[:, columns])
-            limit = threshold(scored[good], scored[~good])
-            found.append(((scored[good] <= limit).mean() + (scored[~good] > limit).mean(), -f))
+        for f, (values, good, bad) in scores_counted(labelled, forests).items():
+            limit = counted_threshold(values, good, bad)
+            if limit is None:
+                return list(range(sample.shape[1]))
+            found.append((good[values <= limit].sum() / good.sum() + bad[values > limit].sum() / bad.sum(), -f))
         value, f = max(found)
         if value < best + 0.001:
             break
@@ -233,19 +281,19 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = features(_sampled(passed, SAMPLE))
     if len(sample) < 2:
         return counted.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed")).alias("kept"), F.lit(0.0).alias("score"))
-    labelled = _sampled(passed.join(marked, "doc_id"), LABELLED)
-    tried = features(labelled)
-    columns = chosen_features(sample, tried, labelled["quality"] == 1)
+    # of repeated rows one counts
+    labelled = durable(passed.join(marked, "doc_id").distinct().select(*COUNTS, *MORE, (F.col("quality") == 1).alias("good")))
+    columns = chosen_by_all(sample, labelled)
     forest = IsolationForest(sample[:, columns])
-    scored = forest.scores(tried[:, columns])
-    limit = threshold(scored[labelled["quality"] == 1], scored[labelled["quality"] == 0])
+    limit = counted_threshold(*scores_counted(labelled, {0: (columns, forest)})[0])
     if limit is None:
-        limit = float(np.quantile(forest.scores(sample[:, columns]), 1 - MAY_LOSE))
+        values, times, _ = scores_counted(passed.withColumn("good", F.lit(True)), {0: (columns, forest)})[0]
+        limit = counted_quantile(values, times, 1 - MAY_LOSE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*COUNTS, *MORE)}
-            score = forest.scores(features(held)[:, columns])
+            score = np.round(forest.scores(features(held)[:, columns]), DECIMALS)
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("doc_id", *COUNTS, "base_failed")], pa.array(~failed & (score <= limit)), pa.array(score)],

@@ -71,3 +71,25 @@ def test_isolated_rows_score_high():
     scores = Q.IsolationForest(rows).scores(rows)
     assert scores.argmax() == 500
     assert scores[500] > 0.7 > scores[:500].mean()
+
+
+def test_thresholds_from_all_labelled_rows(spark):
+    """Scores of all rows are counted, none of them sampled; counts give the threshold that the scores themselves give."""
+    import numpy as np
+
+    from corvane.llm import quality as Q
+
+    rng = np.random.default_rng(1)
+    scores, good = np.round(rng.uniform(0.3, 0.7, 3000), 2), rng.random(3000) < 0.8
+    values = np.unique(scores)
+    counts = [np.array([((scores == v) & kind).sum() for v in values]) for kind in (good, ~good)]
+    assert Q.counted_threshold(values, *counts) == Q.threshold(scores[good], scores[~good])
+    assert Q.counted_quantile(values, counts[0], 0.995) == np.quantile(scores[good], 0.995)
+
+    n = 25_000  # more than the 20,000 that were taken before
+    names = [*Q.COUNTS, *Q.MORE]
+    rows = spark.range(n).selectExpr(*[f"id % {7 + i} + {50 + i} AS {c}" for i, c in enumerate(names)], "id % 10 > 0 AS good")
+    held = rows.select(*names).limit(300).toPandas()
+    forest = Q.IsolationForest(Q.features({c: held[c].to_numpy() for c in names}), 4)
+    found, n_good, n_bad = Q.scores_counted(rows, {0: (list(range(8)), forest)})[0]
+    assert (n_good.sum(), n_bad.sum()) == (22_500, 2500) and (np.diff(found) > 0).all()
