@@ -214,14 +214,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> tuple[Chai
     index = {w: i for i, w in enumerate(words)}
     if not words:
         return None, index
-    # only the vocabulary's words of a text come to the driver
-    keep = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"))
-    lists = sample.select("doc_id", "key", F.explode("words").alias("word")).join(keep, "word").groupBy("doc_id", "key").agg(F.collect_set("word").alias("w"))
-    listed = F.coalesce(F.col("w"), F.array().cast("array<string>")).alias("w")
+    # only the vocabulary's words of a text come to the driver; they are looked up inside the row
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(index[w] for w in ws if w in index) for ws in batch.column("words").to_pylist()]
+            at = batch.schema.get_field_index("words")
+            yield batch.set_column(at, "words", pa.array(own, pa.list_(pa.int32())))
+
     fold = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).alias("fold")
-    rows = sample.join(lists, ["doc_id", "key"], "left").select("doc_id", "key", *categories, listed, "rates", fold).collect()
+    known = sample.select("doc_id", "key", *categories, "words", "rates", fold)
+    rows = known.mapInArrow(looked_up, f"doc_id long, key long, {kinds}, words array<int>, rates array<double>, fold long").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["key"]))
-    made = Rows([sorted(index[w] for w in r["w"]) for r in rows], np.array([r["rates"] for r in rows]))
+    made = Rows([r["words"] for r in rows], np.array([r["rates"] for r in rows]))
     gold = {c: np.array([-1 if r[c] is None else r[c] for r in rows]) for c in categories}
     order = sorted(categories, key=lambda c: (int((gold[c] == 1).sum()), categories.index(c)))
     return Chain(made, {c: gold[c] for c in order}, np.array([r["fold"] for r in rows]), len(words)), index

@@ -105,3 +105,16 @@ def test_odd_documents(spark):
     assert T.toxicity(odd.empty(spark), T.toxicity_labels(labels), T.CATEGORIES).count() == 0
     none = T.toxicity(odd.frame(spark), T.toxicity_labels(labels.limit(0)), T.CATEGORIES).collect()
     assert {r.p_toxic for r in none} == {0.0}
+
+
+def test_words_are_looked_up_in_the_row(spark, sf_dir, monkeypatch):
+    """No join on words: a row for each word of the sample would pass through it."""
+    from corvane.llm import toxicity as T
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    joined, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, on=None, how=None: (joined.append(on), join(self, other, on, how))[1])
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    chain, index = T.fit(docs, T.toxicity_labels(labels), T.CATEGORIES)
+    assert chain is not None and index
+    assert "doc_id" in joined and "word" not in joined
